@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, packing, sharding, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, sharding, substring_dedup, token_counts, url_filter
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,15 +31,46 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+#: Which urls are blocked, and which of those are allowed all the same.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """A quarter of the documents, by their ids, from which nothing is learnt."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def training_texts(docs: DataFrame) -> dict[str, list[str]]:
+    return language_id.sample(docs, F.col("doc_id").isNotNull() & ~held_out())
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.withColumn("held_out", held_out()), training_texts(docs), keep=("held_out",))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", counts.n_tokens > 4096)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -54,5 +86,35 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0
 """
 
 
+_RULES = ", ".join(f"('{v}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in URL_RULES)
+_URLS = f"""
+WITH rules(verdict, rule_host, rule_path) AS (VALUES {_RULES}),
+rows AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1) AS raw,
+                regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+hosts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM rows),
+fits AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+                row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) AS r
+         FROM hosts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE r = 1
+"""
+
+
+def _canonical_sql(text: str) -> str:
+    x = f"regexp_replace(coalesce({text}, ''), '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace(lower({x}), '{license_scan.VERSION}', 'version \\1', 'g'), '{license_scan.MARKS}', ' ', 'g')"
+    x = f"' ' || trim({x}) || ' '"
+    for old, new in license_scan.SPELLINGS:
+        x = f"replace({x}, ' {old} ', ' {new} ')"
+    return f"trim({x})"
+
+
+_KNOWN = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in license_scan.NOTICES)
+_LICENSES = f"""
+WITH known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) t(license, text) GROUP BY 1),
+rows AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM documents)
+SELECT doc_id, canonical_sha256, license FROM rows LEFT JOIN known ON canonical_sha256 = digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _EXACT}
+    return {"op4_url_filter": _URLS, "op5_exact_dedup": _EXACT, "op6_license_scan": _LICENSES}
