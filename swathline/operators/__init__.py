@@ -1 +1 @@
-"""Part of swathline; see the README for the map of modules."""
+"""Operators over DataFrames: weighted and circular aggregates, histograms, windows, joins, searches and sets."""
