@@ -1,4 +1,165 @@
-"""Queries to come."""
+"""Queries of joins by place over the bound tables."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sensors
+from ..operators import generators, neighbours, raster, spatial
+from ..sources.bindings import areas, cells, points, poses, table, with_tables
+
+
+def _diamonds(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapes over the points: a diamond for each supplier."""
+    cx, cy, r = 40.0 + F.col("s_suppkey") * 17 % 960, 20.0 + F.col("s_suppkey") * 3, 30 + F.abs("s_acctbal") / 200
+    corner = lambda dx, dy: F.struct((cx + dx * r).alias("x"), (cy + dy * r).alias("y"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("shape"), F.array(corner(-1, 0), corner(0, -1), corner(1, 0), corner(0, 1)).alias("ring"))
+
+
+def contains_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in every shape; a point may lie in several."""
+    found = spatial.contains(_diamonds(spark, sf), points(spark, sf).select("x", "y", "w"), ["shape"], 80.0)
+    return found.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 2).alias("w"))
+
+
+def neighbour_band(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted difference of each cell from those within 2.6 steps, weights falling with the distance."""
+    c = cells(spark, sf).select("cell", (F.col("col") * 100.0).alias("x"), (F.col("row") * 100.0).alias("y"), "z")
+    pairs = spatial.within(c, c, 260.0).filter("cell <> r_cell")
+    w = 1 - F.col("distance") / 260.0
+    return pairs.groupBy("cell").agg(F.count(F.lit(1)).alias("near"), F.round(F.sum(w * F.abs(F.col("z") - F.col("r_z"))) / F.sum(w), 4).alias("contrast"))
+
+
+def strip_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("strip"), (F.col("s_suppkey") * 37.0 % 900).alias("x1"), (F.col("s_suppkey") * 11.0).alias("y1"), (F.col("s_suppkey") * 37.0 % 900 + 400).alias("x2"), (F.col("s_suppkey") * 11.0 + 90).alias("y2"))
+    tiles = spatial.strips_to_tiles(s, ["strip"], 45.0, 256.0).groupBy("strip").agg(F.count(F.lit(1)).alias("tiles"), F.sum(F.col("tx") * 1000 + F.col("ty")).alias("key_sum"))
+    lo, hi = spatial.clip_to_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), (256.0, 256.0, 1024.0, 1024.0))
+    return tiles.join(s.select("strip", F.round(lo, 6).alias("part_from"), F.round(hi, 6).alias("part_to")), "strip")
+
+
+def bilinear_sample(spark: SparkSession, sf: str) -> DataFrame:
+    grid = cells(spark, sf).filter("row < 20").select("row", "col", "z")
+    p = poses(spark, sf).select("event_id", (F.col("event_id") % 431 / 20.0 - 0.7).alias("c"), (F.col("user_id") % 397 / 19.0 - 0.7).alias("r"))
+    found = raster.sample_bilinear(p, grid, [], F.col("c"), F.col("r"), 20)
+    return found.select("event_id", F.round("z", 4).alias("z"))
+
+
+def raster_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    c = cells(spark, sf).select("row", "col", "z")
+    over = c.filter((F.col("row") + F.col("col")) % 3 == 0).withColumn("z", F.col("z") - 400)
+    return raster.overlay(c, over, ["row", "col"]).select("row", "col", F.round("z", 3).alias("z"))
+
+
+def eroded_mask(spark: SparkSession, sf: str) -> DataFrame:
+    mask = cells(spark, sf).filter("row < 20 AND cell % 13 <> 0").select("row", "col")
+    return raster.erode(mask, [], 20, 1)
+
+
+def smoothed_raster(spark: SparkSession, sf: str) -> DataFrame:
+    c = cells(spark, sf).filter("row < 20").select("row", "col", F.when(F.col("cell") % 9 != 0, F.col("z")).otherwise(0.0).alias("v"))
+    return raster.smooth(c, [], 20).select("row", "col", F.round("v", 4).alias("v"))
+
+
+def surface_normals(spark: SparkSession, sf: str) -> DataFrame:
+    c = cells(spark, sf).filter("row < 20").select("row", "col", "z")
+    return raster.normals(c, [], 30.0).select("row", "col", *[F.round(n, 6).alias(n) for n in ("nx", "ny", "nz")])
+
+
+def halo_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles beside those around them, with the world's edges joined."""
+    t = cells(spark, sf).filter("row < 16 AND col < 16").select(F.col("col").alias("x"), F.col("row").alias("y"), "z")
+    return raster.halo(t, 4, 1).groupBy("x", "y").agg(F.count(F.lit(1)).alias("tiles"), F.round(F.sum(F.col("z") * (F.col("dx") + 3 * F.col("dy") + 5)), 3).alias("mix"))
+
+
+def region_adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    c = cells(spark, sf)
+    pairs = neighbours.region_adjacency(c, neighbours.grid_features(c, 100.0), "region", 100.0)
+    return pairs.select("region_a", "region_b", "boundary", F.round("strength", 3).alias("strength"))
+
+
+def connection_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ordered pair of areas near each other, both ways round at either end: metres and seconds."""
+    a = areas(spark, sf).select("area_id", F.col("half"), ((F.col("lng") - 8.5) * 75000).alias("x"), F.lit(0.0).alias("y"))
+    pairs = spatial.within(a, a, 500.0).filter("area_id <> r_area_id")
+    flips = pairs.withColumn("flip", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    end = lambda x, half, bit: F.col(x) + F.when(F.floor(F.col("flip") / bit) % 2 == 0, 1.0).otherwise(-1.0) * F.col(half) * 75000
+    metres = F.abs(end("x", "half", 1) - end("r_x", "r_half", 2))
+    return flips.select("area_id", F.col("r_area_id").alias("to_area"), "flip", F.round(metres, 4).alias("metres"), F.round(metres / 16, 4).alias("seconds"))
+
+
+def rasterized(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of diamonds, clipped at the tile."""
+    rings = _diamonds(spark, sf).filter("shape <= 100").select("shape", F.transform("ring", lambda p: F.struct((p["x"] / 4).alias("x"), (p["y"] / 4).alias("y"))).alias("ring"))
+    return generators.rasterize(rings, ["shape"], 128).groupBy("shape").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("row") * 128 + F.col("col")).alias("key_sum"))
+
+
+def tile_cover(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.geo import mercator_x, mercator_y
+
+    a = areas(spark, sf).select("area_id", *[f(F.col(c) + s * F.col("half")).alias(n) for n, f, c, s in (("min_x", mercator_x, "lng", -1), ("max_x", mercator_x, "lng", 1), ("min_y", mercator_y, "lat", -1), ("max_y", mercator_y, "lat", 1))])
+    return generators.tile_cover(a, ["area_id"], 16, 1)
+
+
+def grid_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of 24 m of every diamond: how many, and their clipped area."""
+    return generators.grid_cells(_diamonds(spark, sf), ["shape"], 24.0).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 3).alias("area"))
+
+
+def camera_tile(spark: SparkSession, sf: str) -> DataFrame:
+    """Resolution and overlap of a sloping terrain tile under nadir and oblique poses."""
+    c = cells(spark, sf).filter("row < 20").select(F.col("cell").alias("pixel"), (F.col("col") * 25.0).alias("x"), (F.col("row") * 25.0).alias("y"), (F.col("z") / 50).alias("z"))
+    c = c.withColumns({"nx": F.lit(-math.sin(0.05)), "ny": F.lit(0.0), "nz": F.lit(math.cos(0.05))})
+    p = poses(spark, sf).filter("event_id % 20 = 0").select(F.col("event_id").alias("pose"), (F.col("event_id") % 500).cast("double").alias("x"), (F.col("user_id") * 7 % 500).cast("double").alias("y"), (F.col("alt") / 5).alias("z"), F.lit(20.0).alias("ground"), (F.col("event_id") % 21 - 10.0).alias("o"), (F.col("user_id") % 15 - 7.0).alias("p"), (F.col("event_id") % 360).cast("double").alias("k"))
+    p = p.withColumns(sensors.rotation(F.col("o"), F.col("p"), F.col("k")))
+    seen = spatial.at_least(spatial.visible(c, p, 60.0), 3)
+    return seen.select("pixel", "overlap", F.round("gsd", 6).alias("gsd"))
+
+
+QUERIES = {f.__name__: f for f in (contains_count, neighbour_band, strip_tiles, bilinear_sample, raster_overlay, eroded_mask, smoothed_raster, surface_normals, halo_tiles, region_adjacency, connection_matrix, rasterized, tile_cover, grid_cells, camera_tile)}
+
+_DIAMOND = "SELECT s_suppkey AS shape, 40::DOUBLE + s_suppkey * 17 % 960 AS cx, 20::DOUBLE + s_suppkey * 3 AS cy, 30 + abs(s_acctbal) / 200 AS r FROM supplier"
+_STRIP = "SELECT s_suppkey AS strip, (s_suppkey * 37 % 900)::DOUBLE AS x1, s_suppkey * 11::DOUBLE AS y1, (s_suppkey * 37 % 900 + 400)::DOUBLE AS x2, s_suppkey * 11::DOUBLE + 90 AS y2 FROM supplier"
+_GRID = "(SELECT row, col, z FROM cells WHERE row < 20)"
+
+
+def _part(x: str, y: str) -> str:
+    return f"({x})"
+
+
+ORACLE = {
+    "contains_count": with_tables(f"WITH s AS ({_DIAMOND}) SELECT shape, count(*) AS n, round(sum(w), 2) AS w FROM s JOIN points ON abs(x - cx) + abs(y - cy) < r GROUP BY shape", "points"),
+    "neighbour_band": with_tables("SELECT a.cell, count(*) AS near, round(sum((1 - d / 260) * abs(a.z - b.z)) / sum(1 - d / 260), 4) AS contrast FROM (SELECT a.cell, a.z, b.z AS bz, b.cell AS bc, sqrt(pow((a.col - b.col) * 100, 2) + pow((a.row - b.row) * 100, 2)) AS d FROM cells a JOIN cells b ON a.cell <> b.cell AND abs(a.col - b.col) <= 2 AND abs(a.row - b.row) <= 2) a JOIN cells b ON b.cell = a.bc WHERE d <= 260 GROUP BY a.cell", "cells"),
+    "strip_tiles": f"""WITH s AS ({_STRIP}), b AS (SELECT *, unnest(range(-3, 20)) AS tx FROM s), t AS (SELECT *, unnest(range(-3, 60)) AS ty FROM b),
+        k AS (SELECT strip, count(*) AS tiles, sum(tx * 1000 + ty)::BIGINT AS key_sum FROM t WHERE x1 - 45 <= (tx + 1) * 256 AND x2 + 45 >= tx * 256 AND y1 - 45 <= (ty + 1) * 256 AND y2 + 45 >= ty * 256 GROUP BY strip),
+        c AS (SELECT strip, greatest(0, (256 - x1) / (x2 - x1), (256 - y1) / (y2 - y1)) AS lo, least(1, (1024 - x1) / (x2 - x1), (1024 - y1) / (y2 - y1)) AS hi FROM s)
+        SELECT strip, tiles, key_sum, round(CASE WHEN lo <= hi THEN lo END, 6) AS part_from, round(CASE WHEN lo <= hi THEN hi END, 6) AS part_to FROM k JOIN c USING (strip)""",
+    "bilinear_sample": with_tables(
+        f"""WITH g AS {_GRID}, p AS (SELECT event_id, event_id % 431 / 20::DOUBLE - 0.7::DOUBLE AS c, user_id % 397 / 19::DOUBLE - 0.7::DOUBLE AS r FROM poses), q AS (SELECT *, greatest(0, least(18, floor(c)))::BIGINT AS c0, greatest(0, least(18, floor(r)))::BIGINT AS r0 FROM p),
+        f AS (SELECT *, greatest(0, least(1, c - c0)) AS fc, greatest(0, least(1, r - r0)) AS fr FROM q)
+        SELECT event_id, round(CASE WHEN c BETWEEN -0.5 AND 19.5 AND r BETWEEN -0.5 AND 19.5 THEN (a.z + (b.z - a.z) * fc) * (1 - fr) + (d.z + (e.z - d.z) * fc) * fr END, 4) AS z FROM f LEFT JOIN g a ON a.row = r0 AND a.col = c0 LEFT JOIN g b ON b.row = r0 AND b.col = c0 + 1 LEFT JOIN g d ON d.row = r0 + 1 AND d.col = c0 LEFT JOIN g e ON e.row = r0 + 1 AND e.col = c0 + 1""",
+        "poses", "cells",
+    ),
+    "raster_overlay": with_tables("SELECT row, col, round(CASE WHEN (row + col) % 3 = 0 THEN z - 400 ELSE z END, 3) AS z FROM cells", "cells"),
+    "eroded_mask": with_tables("WITH m AS (SELECT row, col FROM cells WHERE row < 20 AND cell % 13 <> 0) SELECT a.row, a.col FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE a.row BETWEEN 1 AND 18 AND a.col BETWEEN 1 AND 18 GROUP BY a.row, a.col HAVING count(*) = 9", "cells"),
+    "smoothed_raster": with_tables(
+        "WITH m AS (SELECT row, col, CASE WHEN cell % 9 <> 0 THEN z ELSE 0 END AS v FROM cells WHERE row < 20), s AS (SELECT a.row, a.col, sum(b.v * (2 - abs(a.row - b.row)) * (2 - abs(a.col - b.col))) / sum((2 - abs(a.row - b.row)) * (2 - abs(a.col - b.col))) AS s FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND b.v > 0 GROUP BY a.row, a.col) SELECT m.row, m.col, round(CASE WHEN m.row IN (0, 19) OR m.col IN (0, 19) OR m.v = 0 THEN m.v ELSE s END, 4) AS v FROM m LEFT JOIN s USING (row, col)",
+        "cells",
+    ),
+    "surface_normals": with_tables(
+        f"""WITH g AS {_GRID}, n AS (SELECT a.row, a.col, (coalesce(e.z, a.z) - coalesce(w.z, a.z)) / (CASE WHEN e.z IS NULL OR w.z IS NULL THEN 30 ELSE 60 END) AS gx, (coalesce(s.z, a.z) - coalesce(t.z, a.z)) / (CASE WHEN s.z IS NULL OR t.z IS NULL THEN 30 ELSE 60 END) AS gy
+        FROM g a LEFT JOIN g e ON e.row = a.row AND e.col = a.col + 1 LEFT JOIN g w ON w.row = a.row AND w.col = a.col - 1 LEFT JOIN g s ON s.row = a.row + 1 AND s.col = a.col LEFT JOIN g t ON t.row = a.row - 1 AND t.col = a.col)
+        SELECT row, col, round(-gx / sqrt(gx * gx + gy * gy + 1), 6) AS nx, round(-gy / sqrt(gx * gx + gy * gy + 1), 6) AS ny, round(1 / sqrt(gx * gx + gy * gy + 1), 6) AS nz FROM n""",
+        "cells",
+    ),
+    "halo_tiles": with_tables("WITH t AS (SELECT col AS x, row AS y, z FROM cells WHERE row < 16 AND col < 16) SELECT a.x, a.y, count(*) AS tiles, round(sum(b.z * (dx + 3 * dy + 5)), 3) AS mix FROM t a, range(-1, 2) p(dx), range(-1, 2) q(dy), t b WHERE b.x = (a.x + dx + 16) % 16 AND b.y = greatest(0, least(15, a.y + dy)) GROUP BY a.x, a.y", "cells"),
+    "connection_matrix": with_tables("WITH a AS (SELECT area_id, half, (lng - 8.5::DOUBLE) * 75000 AS x FROM areas), p AS (SELECT a.area_id, b.area_id AS to_area, f::INTEGER AS flip, abs(a.x + (CASE WHEN f % 2 = 0 THEN 1 ELSE -1 END) * a.half * 75000 - b.x - (CASE WHEN f // 2 = 0 THEN 1 ELSE -1 END) * b.half * 75000) AS m FROM a JOIN a b ON a.area_id <> b.area_id AND abs(a.x - b.x) <= 500, range(4) t(f)) SELECT area_id, to_area, flip, round(m, 4) AS metres, round(m / 16, 4) AS seconds FROM p", "areas"),
+    "rasterized": f"WITH s AS (SELECT shape, cx / 4 AS cx, cy / 4 AS cy, r / 4 AS r FROM ({_DIAMOND}) WHERE shape <= 100), h AS (SELECT shape, row, r - abs(row + 0.5 - cy) AS w, cx FROM s, range(128) t(row) WHERE abs(row + 0.5 - cy) < r), p AS (SELECT shape, row, col FROM h, range(128) t(col) WHERE col >= ceil(cx - w) AND col <= floor(cx + w)) SELECT shape, count(*) AS pixels, sum(row * 128 + col)::BIGINT AS key_sum FROM p GROUP BY shape",
+    "tile_cover": with_tables(
+        """WITH w AS (SELECT area_id, 2 * pi() * 6378137 / 65536 AS side, radians(lng - half) * 6378137 AS x0, radians(lng + half) * 6378137 AS x1, 6378137 * ln(tan(pi() / 4 + radians(lat - half) / 2)) AS y0, 6378137 * ln(tan(pi() / 4 + radians(lat + half) / 2)) AS y1 FROM areas),
+        t AS (SELECT area_id, unnest(range(floor((x0 + pi() * 6378137) / side)::BIGINT - 1, floor((x1 + pi() * 6378137) / side)::BIGINT + 2)) AS tx, floor((pi() * 6378137 - y1) / side)::BIGINT - 1 AS a, floor((pi() * 6378137 - y0) / side)::BIGINT + 2 AS b FROM w) SELECT area_id, tx, unnest(range(a, b)) AS ty FROM t""",
+        "areas",
+    ),
+}
