@@ -80,24 +80,31 @@ def grid_cells(rings: DataFrame, keys: list[str], step: Column | float, least: f
 
     Cells cover the ring's box; a cell's part of the ring is the ring clipped at the cell's four sides.
     """
-    from ..functions.geo import clip_half_plane, ring_area
+    from ..functions.geo import ring_area
 
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     s = num(step)
     b = rings.withColumns({"__s": s, "__x0": F.array_min(xs), "__y0": F.array_min(ys), "__nx": F.ceil((F.array_max(xs) - F.array_min(xs)) / s).cast("int"), "__ny": F.ceil((F.array_max(ys) - F.array_min(ys)) / s).cast("int")})
     cells = b.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("__ny") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("__nx") - 1)))
     x, y = F.col("__x0") + F.col("col") * F.col("__s"), F.col("__y0") + F.col("row") * F.col("__s")
+    # Cross distance is x for bearing 0 and -y for bearing 90. Each part is bound by a one-element array, and so named once.
+    cells = cells.withColumns({"__x": x, "__y": y, "__part": F.col("ring")})
+    x, y, s = F.col("__x"), F.col("__y"), F.col("__s")
     part = F.col("ring")
-    # Cross distance is x for bearing 0 and -y for bearing 90.
-    for bearing, at, left in ((0.0, x + F.col("__s"), True), (0.0, x, False), (90.0, -y, True), (90.0, -(y + F.col("__s")), False)):
-        part = clip_half_plane(part, bearing, at, left)
-        cells = cells.withColumn("__part", part)
-        part = F.col("__part")
+    for bearing, at, left in ((0.0, x + s, True), (0.0, x, False), (90.0, -y, True), (90.0, -(y + s), False)):
+        part = F.get(F.transform(F.array(part), _clip(bearing, at, left)), F.lit(0))
+    cells = cells.withColumn("__part", part)
     area = F.when(F.size("__part") >= 3, ring_area(F.col("__part"))).otherwise(0.0)
     cells = cells.select(*keys, "row", "col", (x + F.col("__s") / 2).alias("x"), (y + F.col("__s") / 2).alias("y"), area.alias("area"), "__s")
     return cells.filter(F.col("area") >= least * F.col("__s") * F.col("__s")).drop("__s")
 
 
+def _clip(bearing: float, at: Column, left: bool):
+    from ..functions.geo import clip_half_plane
+
+    return lambda ring: clip_half_plane(ring, bearing, at, left)
+
+
 def tile_cover(boxes: DataFrame, keys: list[str], zoom: int, pad: int = 0) -> DataFrame:
     """(keys, tx, ty) of the tiles that boxes in metres (min_x, min_y, max_x, max_y) meet, and so many around; held within the map."""
     side, last = WORLD / (1 << zoom), (1 << zoom) - 1

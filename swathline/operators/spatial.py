@@ -85,19 +85,20 @@ def visible(pixels: DataFrame, poses: DataFrame, size: float, camera: tuple[floa
     u, v = w / 2 + f * F.col("cx") / -F.col("cz") / sx, h / 2 + f * F.col("cy") / -F.col("cz") / sy
     span = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
     both = both.filter((u >= 0) & (u < w) & (v >= 0) & (v < h) & (F.col("away") / span > 1e-3))
-    um, vm = f * F.col("cx") / F.col("cz"), f * F.col("cy") / F.col("cz")
-    a = [F.col(f"r{i}1") * um + F.col(f"r{i}2") * vm + F.col(f"r{i}3") * f for i in (1, 2, 3)]
-    n = [F.col(c) for c in ("nx", "ny", "nz")]
-    dot = sum((n[i] * a[i] for i in range(3)), F.lit(0.0))
-    height = -F.col("away")
+    # Steps as columns of their own, so that each is worked out once and the generated code stays small.
+    both = both.withColumns({"um": f * F.col("cx") / F.col("cz"), "vm": f * F.col("cy") / F.col("cz")})
+    both = both.withColumns({f"a{i}": F.col(f"r{i}1") * F.col("um") + F.col(f"r{i}2") * F.col("vm") + F.col(f"r{i}3") * f for i in (1, 2, 3)})
+    n = {1: F.col("nx"), 2: F.col("ny"), 3: F.col("nz")}
+    dots = {"dot": sum((n[i] * F.col(f"a{i}") for i in n), F.lit(0.0))} | {f"nb{k}": sum((n[i] * F.col(f"r{i}{k}") for i in n), F.lit(0.0)) for k in (1, 2)}
+    both = both.withColumns(dots)
+    dot = F.col("dot")
 
     def stretch(axis: int) -> Column:
-        b = [F.col(f"r{i}{axis}") for i in (1, 2, 3)]
-        nb = sum((n[i] * b[i] for i in range(3)), F.lit(0.0))
-        parts = [(dot * b[i] - nb * a[i]) * height / (dot * dot) for i in range(3)]
-        return F.sqrt(sum((q * q for q in parts), F.lit(0.0)))
+        parts = [dot * F.col(f"r{i}{axis}") - F.col(f"nb{axis}") * F.col(f"a{i}") for i in n]
+        return F.sqrt(sum((q * q for q in parts), F.lit(0.0))) * F.abs(F.col("away")) / (dot * dot)
 
-    gsd = F.when(F.abs(dot) >= 1e-12, F.sqrt(stretch(1) * sx * stretch(2) * sy))
+    both = both.withColumns({"__su": stretch(1), "__sv": stretch(2)})
+    gsd = F.when(F.abs(dot) >= 1e-12, F.sqrt(F.col("__su") * sx * F.col("__sv") * sy))
     return both.withColumn("gsd", gsd).filter("gsd IS NOT NULL").groupBy("pixel").agg(F.count(F.lit(1)).alias("overlap"), F.min("gsd").alias("gsd"))
 
 

@@ -75,8 +75,7 @@ def halo_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def region_adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf)
-    pairs = neighbours.region_adjacency(c, neighbours.grid_features(c, 100.0), "region", 100.0)
+    pairs = neighbours.region_adjacency(cells(spark, sf), "region", 100.0)
     return pairs.select("region_a", "region_b", "boundary", F.round("strength", 3).alias("strength"))
 
 
@@ -125,10 +124,6 @@ _STRIP = "SELECT s_suppkey AS strip, (s_suppkey * 37 % 900)::DOUBLE AS x1, s_sup
 _GRID = "(SELECT row, col, z FROM cells WHERE row < 20)"
 
 
-def _part(x: str, y: str) -> str:
-    return f"({x})"
-
-
 ORACLE = {
     "contains_count": with_tables(f"WITH s AS ({_DIAMOND}) SELECT shape, count(*) AS n, round(sum(w), 2) AS w FROM s JOIN points ON abs(x - cx) + abs(y - cy) < r GROUP BY shape", "points"),
     "neighbour_band": with_tables("SELECT a.cell, count(*) AS near, round(sum((1 - d / 260) * abs(a.z - b.z)) / sum(1 - d / 260), 4) AS contrast FROM (SELECT a.cell, a.z, b.z AS bz, b.cell AS bc, sqrt(pow((a.col - b.col) * 100, 2) + pow((a.row - b.row) * 100, 2)) AS d FROM cells a JOIN cells b ON a.cell <> b.cell AND abs(a.col - b.col) <= 2 AND abs(a.row - b.row) <= 2) a JOIN cells b ON b.cell = a.bc WHERE d <= 260 GROUP BY a.cell", "cells"),
@@ -154,6 +149,16 @@ ORACLE = {
         SELECT row, col, round(-gx / sqrt(gx * gx + gy * gy + 1), 6) AS nx, round(-gy / sqrt(gx * gx + gy * gy + 1), 6) AS ny, round(1 / sqrt(gx * gx + gy * gy + 1), 6) AS nz FROM n""",
         "cells",
     ),
+    "region_adjacency": with_tables(
+        """WITH g AS (SELECT c.cell, c.region, c.row, c.col, coalesce((e.z - w.z) / 200, (e.z - c.z) / 100, (c.z - w.z) / 100) AS gx, coalesce((n.z - s.z) / 200, (n.z - c.z) / 100, (c.z - s.z) / 100) AS gy FROM cells c
+          LEFT JOIN cells e ON e.row = c.row AND e.col = c.col + 1 LEFT JOIN cells w ON w.row = c.row AND w.col = c.col - 1 LEFT JOIN cells n ON n.row = c.row + 1 AND n.col = c.col LEFT JOIN cells s ON s.row = c.row - 1 AND s.col = c.col),
+        f1 AS (SELECT *, sqrt(gx * gx + gy * gy) AS slope, CASE WHEN sqrt(gx * gx + gy * gy) <= 1e-6 THEN 0 ELSE fmod(degrees(atan2(gx, gy)) + 360, 360::DOUBLE) END AS aspect FROM g),
+        f AS (SELECT *, CASE WHEN slope <= 1e-6 THEN 0 ELSE fmod(aspect + 90, 180::DOUBLE) END AS pref FROM f1),
+        b AS (SELECT a.cell, avg(least(abs(a.aspect - o.aspect), 360 - abs(a.aspect - o.aspect))) AS da, avg(least(abs(a.pref - o.pref), 180 - abs(a.pref - o.pref))) AS dp, avg(abs(a.slope - o.slope)) AS ds FROM f a JOIN f o ON o.slope IS NOT NULL AND ((o.row = a.row AND abs(o.col - a.col) = 1) OR (o.col = a.col AND abs(o.row - a.row) = 1)) GROUP BY a.cell),
+        k AS (SELECT f.cell, f.region, f.row, f.col, coalesce((0.65 * da + 0.35 * dp + 70 * ds) * greatest(0.3, least(1.8, slope / 0.18)), 0) AS s FROM f LEFT JOIN b USING (cell))
+        SELECT least(a.region, b.region) AS region_a, greatest(a.region, b.region) AS region_b, count(*) * 100::DOUBLE AS boundary, round(avg((a.s + b.s) / 2), 3) AS strength FROM k a JOIN k b ON ((b.row = a.row AND b.col = a.col + 1) OR (b.col = a.col AND b.row = a.row + 1)) AND a.region <> b.region GROUP BY ALL""",
+        "cells",
+    ),
     "halo_tiles": with_tables("WITH t AS (SELECT col AS x, row AS y, z FROM cells WHERE row < 16 AND col < 16) SELECT a.x, a.y, count(*) AS tiles, round(sum(b.z * (dx + 3 * dy + 5)), 3) AS mix FROM t a, range(-1, 2) p(dx), range(-1, 2) q(dy), t b WHERE b.x = (a.x + dx + 16) % 16 AND b.y = greatest(0, least(15, a.y + dy)) GROUP BY a.x, a.y", "cells"),
     "connection_matrix": with_tables("WITH a AS (SELECT area_id, half, (lng - 8.5::DOUBLE) * 75000 AS x FROM areas), p AS (SELECT a.area_id, b.area_id AS to_area, f::INTEGER AS flip, abs(a.x + (CASE WHEN f % 2 = 0 THEN 1 ELSE -1 END) * a.half * 75000 - b.x - (CASE WHEN f // 2 = 0 THEN 1 ELSE -1 END) * b.half * 75000) AS m FROM a JOIN a b ON a.area_id <> b.area_id AND abs(a.x - b.x) <= 500, range(4) t(f)) SELECT area_id, to_area, flip, round(m, 4) AS metres, round(m / 16, 4) AS seconds FROM p", "areas"),
     "rasterized": f"WITH s AS (SELECT shape, cx / 4 AS cx, cy / 4 AS cy, r / 4 AS r FROM ({_DIAMOND}) WHERE shape <= 100), h AS (SELECT shape, row, r - abs(row + 0.5 - cy) AS w, cx FROM s, range(128) t(row) WHERE abs(row + 0.5 - cy) < r), p AS (SELECT shape, row, col FROM h, range(128) t(col) WHERE col >= ceil(cx - w) AND col <= floor(cx + w)) SELECT shape, count(*) AS pixels, sum(row * 128 + col)::BIGINT AS key_sum FROM p GROUP BY shape",
