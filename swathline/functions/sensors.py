@@ -32,9 +32,9 @@ def cameras(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "seq int, key string, f_m double, sx_m double, sy_m double, w_px int, h_px int, names array<string>")
 
 
-def gsd(altitude: Column, f: Column = F.col("f_m"), sx: Column = F.col("sx_m"), sy: Column = F.col("sy_m")) -> Column:
-    """Ground metres a pixel, by the larger side."""
-    return F.greatest(sx, sy) * altitude / f
+def gsd(altitude: Column) -> Column:
+    """Ground metres a pixel, by the larger side, of a camera whose columns f_m, sx_m, ... are in the row."""
+    return F.greatest("sx_m", "sy_m") * altitude / F.col("f_m")
 
 
 def _footprint(altitude: Column, overlap: Column | float, pixels: Column, side: Column) -> Column:
