@@ -20,7 +20,8 @@ def tokenizer(name: str) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,26 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0
 """
 
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_SUBSTRING = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+wins AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 33), lambda i: {{'i': i, 's': array_to_string(ws[i:i + 34], ' ')}})) AS x FROM w WHERE len(ws) >= 35),
+again AS (SELECT x.s AS s FROM wins GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(x.i, x.i + 35)))) AS g FROM wins JOIN again ON x.s = s GROUP BY doc_id),
+kept AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(g), 0) AS r, CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(g, i)) END AS k FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n AS n_words, r AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node),
+c AS (SELECT node, min(root) AS component_id FROM walk GROUP BY node)
+SELECT node AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, node = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = node
+"""
 _RULES = ", ".join(f"('{v}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in URL_RULES)
 _URLS = f"""
 WITH rules(verdict, rule_host, rule_path) AS (VALUES {_RULES}),
@@ -117,4 +138,4 @@ SELECT doc_id, canonical_sha256, license FROM rows LEFT JOIN known ON canonical_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _URLS, "op5_exact_dedup": _EXACT, "op6_license_scan": _LICENSES}
+    return {"op1_substring_dedup": _SUBSTRING, "op2_near_dedup": _NEAR, "op4_url_filter": _URLS, "op5_exact_dedup": _EXACT, "op6_license_scan": _LICENSES}
