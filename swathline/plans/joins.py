@@ -117,7 +117,17 @@ def camera_tile(spark: SparkSession, sf: str) -> DataFrame:
     return seen.select("pixel", "overlap", F.round("gsd", 6).alias("gsd"))
 
 
-QUERIES = {f.__name__: f for f in (contains_count, neighbour_band, strip_tiles, bilinear_sample, raster_overlay, eroded_mask, smoothed_raster, surface_normals, halo_tiles, region_adjacency, connection_matrix, rasterized, tile_cover, grid_cells, camera_tile)}
+def lidar_tile(spark: SparkSession, sf: str) -> DataFrame:
+    """Point density of terrain tiles of 20 by 20 pixels under flight strips."""
+    from ..operators.lidar import density
+
+    ground = cells(spark, sf).select(F.floor(F.col("row") / 20).alias("tile"), (F.col("row") % 20).cast("int").alias("row"), F.col("col").cast("int").alias("col"), (F.col("z") / 100).alias("z"))
+    n = F.col("s_suppkey")
+    strips = table(spark, sf, "supplier").filter("s_suppkey <= 40").select((n % 5).alias("tile"), n.alias("strip"), (n * 13.0 % 160).alias("x1"), F.lit(0.0).alias("y1"), F.lit(80.0).alias("z1"), (n * 13.0 % 160).alias("x2"), F.lit(160.0).alias("y2"), F.lit(80.0).alias("z2"), F.lit(16.0).alias("speed"), F.lit(160000.0).alias("rate"))
+    return density(ground, strips, 8.0).select("tile", "row", "col", "passes", F.round("density", 3).alias("density"))
+
+
+QUERIES = {f.__name__: f for f in (contains_count, neighbour_band, strip_tiles, bilinear_sample, raster_overlay, eroded_mask, smoothed_raster, surface_normals, halo_tiles, region_adjacency, connection_matrix, rasterized, tile_cover, grid_cells, camera_tile, lidar_tile)}
 
 _DIAMOND = "SELECT s_suppkey AS shape, 40::DOUBLE + s_suppkey * 17 % 960 AS cx, 20::DOUBLE + s_suppkey * 3 AS cy, 30 + abs(s_acctbal) / 200 AS r FROM supplier"
 _STRIP = "SELECT s_suppkey AS strip, (s_suppkey * 37 % 900)::DOUBLE AS x1, s_suppkey * 11::DOUBLE AS y1, (s_suppkey * 37 % 900 + 400)::DOUBLE AS x2, s_suppkey * 11::DOUBLE + 90 AS y2 FROM supplier"

@@ -124,3 +124,17 @@ def test_stream_of_poses(spark, tmp_path):
         closed = {tuple(r) for r in spark.table(name).collect()}
         whole = {tuple(r) for r in make(table).collect()}
         assert closed and closed < whole  # what the watermark hasn't passed stays open
+
+
+def test_lidar_over_flat_ground(spark):
+    """A long strip over flat ground lays down rate over speed and swath; nothing beyond its swath."""
+    from swathline.operators.lidar import density
+
+    ground = spark.range(50 * 50).selectExpr("0L AS tile", "CAST(id DIV 50 AS INT) AS row", "CAST(id % 50 AS INT) AS col", "0D AS z")
+    strips = spark.createDataFrame([(0, 1, 200.0, -200.0, 50.0, 200.0, 600.0, 50.0, 16.0, 160000.0)], "tile long, strip long, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, speed double, rate double")
+    got = density(ground, strips, 8.0, azimuths=181, reach=200.0).toPandas()
+    middle = got[(got.row > 15) & (got.row < 35)]
+    line = middle.groupby("row").density.sum() * 8  # points a metre along the strip
+    assert line.mean() == pytest.approx(160000 / 16, rel=0.03)
+    assert got.col.min() >= (200 - 56) // 8 and got.col.max() <= (200 + 56) // 8
+    assert set(got.passes) == {1}
