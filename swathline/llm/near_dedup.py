@@ -1,15 +1,14 @@
 """MinHash near-dedup: banded signatures, links confirmed on full shingle sets, and connected components.
 
-1. Each document becomes its set's size and digest, 128 minima of universal hashes as 32 bands of 4, and a byte of
-   each minimum. Documents with equal sets are one class, linked without a look; classes go on.
-2. Classes that share a band meet in its bucket. In the first round each class is tested against one pivot, the
-   smallest class of the bucket that it shares the most bands with. Classes that no test has joined then
-   meet again in the buckets that still hold several components: each is tested against the partner whose signature
-   agrees best, a few times, and at last against all partners that are left and whose signature allows a link.
-   So no link between components is lost to a bucket's size, and no bucket emits all its pairs.
-3. A test reads both full sets. Pivots are dealt out with at most `group` partners a task.
-
-A pair at the threshold shares a band but for 5e-8, and agrees in less than `agree` of 128 minima but for 1e-8.
+1. Each document becomes its set's size and digest, and 128 minima of universal hashes as 32 bands of 4. Documents with equal sets are one class, linked without a look; classes go on.
+2. Classes that share a band meet in its bucket. Each is tested against one pivot, the smallest class of the bucket
+   that it shares the most bands with; these stars join nearly all of a group of near copies.
+3. Classes that buckets connect, directly or by others, are a crowd. In every crowd that still holds several components
+   the classes outside its largest one are compared with all of the crowd, in blocks of bounded size, by
+   full sets; only links leave a block, one a class and component. So no link is lost to a bucket's size, and
+   the pairs of a large group of copies are never made.
+
+All links are confirmed on full sets. A pair at the threshold shares no band with a chance of 5e-8.
 """
 
 from __future__ import annotations
@@ -29,12 +28,10 @@ from .components import components
 
 BANDS, ROWS_A_BAND = 32, 4
 HASHES = BANDS * ROWS_A_BAND
-#: Of 128 one-byte minima, those that a pair at 0.8 has in common but six deviations.
-AGREE = 75
-#: Tests up to this many (24 bytes each) are broadcast to the documents; more are joined by shuffle.
+#: Tests up to this many (32 bytes each) are broadcast to the documents; more are joined by shuffle.
 BROADCAST_TESTS = 400_000
-#: Rounds in which a class is tested against its best partner only.
-BEST_ROUNDS = 3
+#: Classes and shingles of a block of a crowd.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_500_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -83,103 +80,114 @@ def _sign(shingle: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in slices(batch.column("text")):
-                sizes, digests, bands, bytes_ = [], [], [], []
+                sizes, digests, bands = [], [], []
                 for s in shingle_sets(part, shingle):
                     sizes.append(len(s))
                     if len(s):
-                        best = minima(s)
                         digests.append(blake2b(s.tobytes(), digest_size=16).digest())
-                        bands.append(_band_keys(best))
-                        bytes_.append((best & np.uint32(255)).astype(np.uint8).tobytes())
+                        bands.append(_band_keys(minima(s)))
                     else:
-                        digests.append(None), bands.append(None), bytes_.append(None)
+                        digests.append(None), bands.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(part)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "signature"],
+                    [batch.column("doc_id").slice(first, len(part)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "digest", "bands"],
                 )
 
     return sign
 
 
-def _confirm(docs: DataFrame, tests: DataFrame, shingle: int, percent: int, group: int) -> DataFrame:
-    """Of tests (x, y), those with 100 * |both| >= percent * |either|, from the full texts of documents x and y."""
-    tests = written(tests, "tests")
-    few = tests.count() <= BROADCAST_TESTS
-    # Each partner goes to one of a pivot's groups, the pivot to all of them.
-    sizes = tests.groupBy("y").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / group).cast("int"))
-    partners = tests.join(sizes, "y").select(F.col("x").alias("need"), "y", F.pmod(F.xxhash64("x"), "groups").cast("int").alias("part"), F.lit(False).alias("pivot"))
-    pivots = sizes.select(F.col("y").alias("need"), "y", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(True).alias("pivot"))
-    needs = partners.unionByName(pivots)
-    found = docs.join(F.broadcast(needs) if few else needs, F.col("doc_id") == F.col("need")).select("doc_id", "text", "y", "part", "pivot")
+def _with_sets(docs: DataFrame, needs: DataFrame, shingle: int) -> DataFrame:
+    """Rows of needs with the packed shingle set of document `need`: its sorted hashes, the upper six bytes of each."""
+    needs = written(needs, "needs")
+    rest = [c for c in needs.columns if c != "need"]
+    few = needs.count() <= BROADCAST_TESTS
+    found = docs.join(F.broadcast(needs) if few else needs, F.col("doc_id") == F.col("need")).select("doc_id", "text", *rest)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in slices(batch.column("text")):
                 packed = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in shingle_sets(part, shingle)]
-                rest = [batch.column(c).slice(first, len(part)) for c in ("doc_id", "y", "part", "pivot")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], names=["doc_id", "y", "part", "pivot", "shingles"])
+                kept = [batch.column(c).slice(first, len(part)) for c in ("doc_id", *rest)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names=["doc_id", *rest, "shingles"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in needs.schema if f.name != "need")
+    return found.mapInArrow(sets, f"doc_id long, {fields}, shingles binary")
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    s = np.zeros((len(packed) // 6, 8), np.uint8)
+    s[:, 2:] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return s.view("<u8").ravel()
+
+
+class _Against:
+    """Full sets to compare others with: postings of all their shingles in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def linked(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets have 100 * |both| >= percent * |either|."""
+        lo, n = np.searchsorted(self.values, own), 0
+        n = np.searchsorted(self.values, own, side="right") - lo
+        ends = np.cumsum(n)
+        at = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return 100 * both >= percent * (len(own) + self.sizes - both)
+
+
+def _stars(docs: DataFrame, tests: DataFrame, shingle: int, percent: int, group: int) -> DataFrame:
+    """Of tests (x, pivot y), the links (u, v)."""
+    # Each partner goes to one of a pivot's groups, the pivot to all of them.
+    sizes = tests.groupBy("y").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / group).cast("int"))
+    partners = tests.join(sizes, "y").select(F.col("x").alias("need"), "y", F.pmod(F.xxhash64("x"), "groups").cast("int").alias("part"), F.lit(False).alias("pivot"))
+    pivots = sizes.select(F.col("y").alias("need"), "y", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(True).alias("pivot"))
 
     def compare(table: pa.Table) -> pa.Table:
-        def unpack(p: bytes) -> np.ndarray:
-            s = np.zeros((len(p) // 6, 8), np.uint8)
-            s[:, 2:] = np.frombuffer(p, np.uint8).reshape(-1, 6)
-            return s.view("<u8").ravel()
-
-        ids, pivot, y = table["doc_id"].to_pylist(), table["pivot"].to_pylist(), table["y"][0].as_py()
-        packed = table["shingles"]
-        out = []
-        for against in (unpack(packed[i].as_py()) for i, p in enumerate(pivot) if p):
-            for i, p in enumerate(pivot):
-                if p:
-                    continue
-                own = unpack(packed[i].as_py())
-                at = np.searchsorted(against, own)
-                both = int(np.count_nonzero(against[np.minimum(at, len(against) - 1)] == own))
-                if 100 * both >= percent * (len(own) + len(against) - both):
-                    out.append(ids[i])
-        return pa.table({"u": pa.array(out, pa.int64()), "v": pa.array([y] * len(out), pa.int64())})
-
-    packed = found.mapInArrow(sets, "doc_id long, y long, part int, pivot boolean, shingles binary")
-    return packed.groupBy("y", "part").applyInArrow(compare, "u long, v long").distinct()
-
-
-def _partners(buckets: DataFrame, labels: DataFrame, done: DataFrame, best_only: bool, chunk: int = 1024) -> DataFrame:
-    """Untested pairs (x, y) of different components that share a bucket and may be linked by their signatures.
-
-    In each bucket the classes outside its largest component are compared with all others, chunk by chunk.
-    """
-    rows = buckets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    rows = written(rows, "bucket-rows")
-    each = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
-    split = split.filter("parts > 1").select("key", "main", F.ceil(F.col("all") / chunk).alias("c_all"), F.ceil((F.col("all") - F.col("most")) / chunk).alias("c_out"))
-    rows = rows.join(split, "key")
-    outside = F.col("component") != F.col("main")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
-    own = lambda c: F.pmod(F.xxhash64("rep"), c).cast("int")
-    left = rows.filter(outside).select("key", own("c_out").alias("i"), spread("c_all").alias("j"), "rep", "component", "signature", F.lit(True).alias("asks"))
-    right = rows.select("key", spread("c_out").alias("i"), own("c_all").alias("j"), "rep", "component", "signature", F.lit(False).alias("asks"))
-
-    def agree(table: pa.Table) -> pa.Table:
-        signs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, HASHES)
-        reps, comps = table["rep"].to_numpy(), table["component"].to_numpy()
+        ids, pivot = table["doc_id"].to_pylist(), table["pivot"].to_pylist()
+        sets = table["shingles"]
+        out: list[int] = []
+        for k in (k for k, p in enumerate(pivot) if p):
+            against = _Against([_unpack(sets[k].as_py())])
+            out += [ids[i] for i, p in enumerate(pivot) if not p and against.linked(_unpack(sets[i].as_py()), percent)[0]]
+        return pa.table({"u": pa.array(out, pa.int64()), "v": pa.array([table["y"][0].as_py()] * len(out), pa.int64())})
+
+    found = _with_sets(docs, partners.unionByName(pivots), shingle)
+    return found.groupBy("y", "part").applyInArrow(compare, "u long, v long").distinct()
+
+
+def _crowd_links(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) between components of a crowd; members: rep, crowd, component, n_shingles."""
+    each = members.groupBy("crowd", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    split = each.groupBy("crowd").agg(F.max_by(F.struct("component", "n", "s"), F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_CLASSES), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    split = split.filter("parts > 1").select("crowd", F.col("main.component").alias("main"), blocks(F.col("n"), F.col("s")).alias("all"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("out"))
+    rows = members.join(split, "crowd")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    # Block (i, j): the i-th part of those outside asks about the j-th part of all.
+    asks = rows.filter("component <> main").select(F.col("rep").alias("need"), "crowd", own("out").alias("i"), spread("all").alias("j"), "component", F.lit(True).alias("asks"))
+    given = rows.select(F.col("rep").alias("need"), "crowd", spread("out").alias("i"), own("all").alias("j"), "component", F.lit(False).alias("asks"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, components = table["doc_id"].to_numpy(), table["component"].to_numpy()
         asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        others = np.flatnonzero(~asks)
-        xs, ys, ns = [], [], []
-        for i in np.flatnonzero(asks).tolist():
-            same = (signs[others] == signs[i]).sum(axis=1)
-            good = others[(same >= AGREE) & (comps[others] != comps[i])]
-            n = same[(same >= AGREE) & (comps[others] != comps[i])]
-            xs.append(np.full(len(good), reps[i])), ys.append(reps[good]), ns.append(n)
-        cat = lambda a: pa.array(np.concatenate(a) if a else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"p": cat(xs), "q": cat(ys), "n": cat(ns)})
-
-    found = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(agree, "p long, q long, n long")
-    found = found.select("p", F.least("p", "q").alias("y"), F.greatest("p", "q").alias("x"), "n").distinct()
-    found = found.join(done, ["x", "y"], "left_anti")
-    if best_only:
-        found = found.groupBy("p").agg(F.max_by(F.struct("x", "y"), F.struct("n", "x", "y")).alias("t")).select("t.x", "t.y")
-    return found.select("x", "y").distinct()
+        sets, there = table["shingles"], np.flatnonzero(~asks)
+        us, vs = [], []
+        if len(there):
+            against = _Against([_unpack(sets[int(k)].as_py()) for k in there])
+            for k in np.flatnonzero(asks).tolist():
+                good = there[against.linked(_unpack(sets[k].as_py()), percent) & (components[there] != components[k])]
+                good = good[np.unique(components[good], return_index=True)[1]]
+                us += [ids[k]] * len(good)
+                vs += ids[good].tolist()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    found = _with_sets(docs, asks.unionByName(given), shingle)
+    return found.groupBy("crowd", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", group: int = 256) -> DataFrame:
@@ -194,30 +202,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     if percent < 80:
         raise ValueError("bands and signatures are laid out for similarities from 0.8 on")
     flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = flat.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
-    signed = written(signed, "signatures")
+    signed = written(flat.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     full = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes, ["digest"]).filter("doc_id = rep").select("rep", "bands", "signature")
-    bands = reps.select("rep", F.explode("bands").alias("key"))
+    reps = full.join(classes, "digest").filter("doc_id = rep").select("rep", "n_shingles", "bands")
+    bands = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot <> last").drop("last")
-    # From here on, rows of classes that share a band with another class.
-    meets = written(bands.join(pivots, "key"), "meets")
-    shares = meets.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    tests = shares.groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("y")).select(F.col("rep").alias("x"), "y")
-    edges = done = None
-    buckets = meets.join(reps.select("rep", "signature"), "rep").select("key", "rep", "signature")
-    for step in range(1000):
-        tests = written(tests, "round")
-        if step and tests.isEmpty():
-            break
-        links = written(_confirm(flat, tests, shingle, percent, group), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        done = tests if done is None else done.unionByName(tests)
-        labels = written(components(edges), "labels")
-        if step > BEST_ROUNDS:
-            break
-        tests = _partners(buckets, labels, done, step < BEST_ROUNDS)
+    meets = bands.join(pivots, "key").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+    # From here on only classes that share a band with another one.
+    meets = written(meets, "meets")
+    apart = meets.filter("rep <> pivot")
+    tests = apart.groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("y")).select(F.col("rep").alias("x"), "y")
+    links = written(_stars(flat, written(tests, "tests"), shingle, percent, group), "links")
+    stars = components(links)
+    crowds = components(apart.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+    members = meets.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")).join(crowds.select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "rep")
+    members = members.join(stars.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = written(_crowd_links(flat, written(members, "members"), shingle, percent), "more-links")
+    edges = stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+    labels = written(components(edges), "labels") if not more.isEmpty() else stars
     # Classes of one id are one document; ids of a class hang on its smallest.
     member = full.select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     split = member.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()

@@ -76,6 +76,24 @@ def test_chain_and_no_hub(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows, 4)
 
 
+def test_small_blocks(spark, monkeypatch):
+    """A core and many texts at its rim, in blocks of a few."""
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in rng.sample(range(1000), 60):
+        text = list(base)
+        for p in rng.sample(range(150), rng.choice([1, 2, 4, 6, 8, 10])):
+            text[p] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(text)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    want = brute(rows, 4)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == want
+    assert 3 < len({x[2] for x in want}) < 50
+
+
 def test_empty(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
