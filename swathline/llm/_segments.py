@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of text that are handled at once, so that memory doesn't follow the size of a batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Segments remembered by a worker; beyond it the memory starts anew.
 REMEMBERED = 400_000
 
