@@ -160,3 +160,26 @@ def boundary(cells: DataFrame, edges: DataFrame, side: str, step: float) -> Data
     turn = F.least(F.abs(F.col("a_aspect") - F.col("b_aspect")), 360 - F.abs(F.col("a_aspect") - F.col("b_aspect")))
     weight = step * (0.55 * (F.col("a_strength") + F.col("b_strength")) / 2 + 0.3 * turn + 0.15 * axial_delta(F.col("a_bearing"), F.col("b_bearing")))
     return both.agg((F.count(F.lit(1)) * step).alias("length"), F.sum(weight).alias("weight"))
+
+
+def ranked(entries: DataFrame, keys: list[str], name: str, value: str, most: int = 8) -> DataFrame:
+    """The largest positive finite entries of each group, rounded to whole numbers, with their share of the group's sum."""
+    from .weighted import finite
+
+    good = entries.filter(finite(F.col(value)) & (F.col(value) > 0)).withColumn("rounded", F.floor(F.col(value) + 0.5))
+    whole = Window.partitionBy(*keys)
+    good = good.withColumn("share", F.col(value) / F.sum(value).over(whole))
+    return good.withColumn("place", F.row_number().over(whole.orderBy(F.desc("rounded"), name))).filter(F.col("place") <= most).select(*keys, "place", name, "rounded", "share")
+
+
+def combined(left: DataFrame, right: DataFrame, keys: list[str], most: int = 8, gap: float = 45.0) -> DataFrame:
+    """Plans of two halves of a split joined into plans of the whole: areas and times add up, quality weighs areas.
+
+    Halves meet by their split alone, each with a thinned frontier of a known size; plans of over `most` regions go.
+    """
+    r = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in ("plan", "regions", "area", "quality", "time")])
+    both = left.join(r, keys).filter(F.col("regions") + F.col("r_regions") <= most)
+    area = F.col("area") + F.col("r_area")
+    return both.select(
+        *keys, "plan", "r_plan", (F.col("regions") + F.col("r_regions")).alias("regions"), area.alias("area"), ((F.col("quality") * F.col("area") + F.col("r_quality") * F.col("r_area")) / area + 0.02).alias("quality"), (F.col("time") + F.col("r_time") + gap).alias("time")
+    )

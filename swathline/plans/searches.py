@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import neighbours, search, weighted
-from ..sources.bindings import cells, plans, with_tables
+from ..sources.bindings import cells, plans, table, with_tables
 
 
 def skyline(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,9 +48,30 @@ def cell_components(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("cells"))
 
 
-QUERIES = {f.__name__: f for f in (skyline, frontier_thinning, best_bearing, plan_rollup, quantile_split, cell_components)}
+def ranked_timings(spark: SparkSession, sf: str) -> DataFrame:
+    """The three longest kinds of work of every vehicle, with their shares."""
+    spent = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("ms"))
+    return search.ranked(spent, ["user_id"], "event_type", "ms", 3).select("user_id", "place", "event_type", "rounded", F.round("share", 6).alias("share"))
+
+
+def plan_combinations(spark: SparkSession, sf: str) -> DataFrame:
+    """Frontiers of both halves of each split, combined."""
+    p = plans(spark, sf).withColumns({"regions": F.col("plan") % 5 + 1, "area": 1.0 + F.col("plan") % 50, "half": F.floor(F.col("plan") / 2) % 2})
+    front = search.thin(p, ["bucket", "half"], "regions", "time", "quality", 2, 6)
+    both = search.combined(front.filter("half = 0"), front.filter("half = 1"), ["bucket"])
+    return both.select("bucket", "plan", "r_plan", "regions", "area", F.round("quality", 4).alias("quality"), "time")
+
+
+QUERIES = {f.__name__: f for f in (ranked_timings, plan_combinations, skyline, frontier_thinning, best_bearing, plan_rollup, quantile_split, cell_components)}
 
 ORACLE = {
+    "ranked_timings": "WITH s AS (SELECT user_id, event_type, round(sum(value), 4) AS ms FROM events GROUP BY ALL), r AS (SELECT user_id, event_type, floor(ms + 0.5)::BIGINT AS rounded, ms / sum(ms) OVER (PARTITION BY user_id) AS share FROM s WHERE ms > 0) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rounded DESC, event_type)::INTEGER AS place, event_type, rounded, round(share, 6) AS share FROM r QUALIFY place <= 3",
+    "plan_combinations": with_tables(
+        """WITH p AS (SELECT *, plan % 5 + 1 AS regions, 1::DOUBLE + plan % 50 AS area, plan // 2 % 2 AS half FROM plans), r AS (SELECT *, row_number() OVER (PARTITION BY bucket, half, regions ORDER BY quality, time, plan) AS q, row_number() OVER (PARTITION BY bucket, half, regions ORDER BY time, quality, plan) AS t FROM p),
+        f AS (SELECT * FROM r WHERE q <= 2 OR t = 1 QUALIFY row_number() OVER (PARTITION BY bucket, half ORDER BY quality, time, plan) <= 6)
+        SELECT a.bucket, a.plan, b.plan AS r_plan, a.regions + b.regions AS regions, a.area + b.area AS area, round((a.quality * a.area + b.quality * b.area) / (a.area + b.area) + 0.02, 4) AS quality, a.time + b.time + 45::DOUBLE AS time FROM f a JOIN f b ON a.bucket = b.bucket AND a.half = 0 AND b.half = 1 AND a.regions + b.regions <= 8""",
+        "plans",
+    ),
     "skyline": with_tables("SELECT p.bucket, p.plan, p.time, round(p.quality, 2) AS quality FROM plans p WHERE NOT EXISTS (SELECT 1 FROM plans o WHERE o.bucket = p.bucket AND o.time <= p.time AND o.quality <= p.quality AND (o.time < p.time OR o.quality < p.quality))", "plans"),
     "frontier_thinning": with_tables(
         "WITH r AS (SELECT *, row_number() OVER (PARTITION BY bucket, kind ORDER BY quality, time, plan) AS q, row_number() OVER (PARTITION BY bucket, kind ORDER BY time, quality, plan) AS t FROM plans), s AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY quality, time, plan) AS n FROM r WHERE q <= 5 OR t = 1) SELECT bucket, kind, plan, time, round(quality, 2) AS quality FROM s WHERE n <= 20",
