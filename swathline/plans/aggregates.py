@@ -41,7 +41,7 @@ def circular_figures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def circular_medians(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf).filter("cell <= 2000").withColumn("heading", F.round(F.pmod(F.col("z") * 13, F.lit(360.0)), 3))
+    c = cells(spark, sf).withColumn("heading", F.round(F.pmod(F.col("z") * 13, F.lit(360.0)), 3))
     return c.groupBy("row").agg(F.round(angles.circular_median(F.collect_list("heading")), 3).alias("median"))
 
 
@@ -132,7 +132,7 @@ def downsample(spark: SparkSession, sf: str) -> DataFrame:
     """One level down of the masked raster of cells: means of the valid ones of two by two."""
     from ..operators.raster import downsample as down
 
-    c = cells(spark, sf).filter("row < 100").select("row", "col", "z", (F.col("cell") % 7 != 0).alias("valid"))
+    c = cells(spark, sf).select("row", "col", "z", (F.col("cell") % 7 != 0).alias("valid"))
     return down(c, 100, 20).select("row", "col", F.round("z", 5).alias("z"), "valid")
 
 
@@ -172,7 +172,7 @@ ORACLE = {
         "cells",
     ),
     "circular_medians": with_tables(
-        """WITH c AS (SELECT row, round(fmod(z * 13, 360::DOUBLE), 3) AS a FROM cells WHERE cell <= 2000), o AS (SELECT row, a, row_number() OVER (PARTITION BY row ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY row) AS n FROM c),
+        """WITH c AS (SELECT row, round(fmod(z * 13, 360::DOUBLE), 3) AS a FROM cells), o AS (SELECT row, a, row_number() OVER (PARTITION BY row ORDER BY a) - 1 AS i, count(*) OVER (PARTITION BY row) AS n FROM c),
         d AS (SELECT * FROM o UNION ALL SELECT row, a + 360, i + n, n FROM o), s AS (SELECT p.row, p.i, any_value(p.n) AS n, max(q.a) - any_value(p.a) AS span FROM o p JOIN d q ON p.row = q.row AND q.i >= p.i AND q.i < p.i + p.n AND q.a - p.a <= 180 GROUP BY ALL),
         f AS (SELECT row, arg_min(i + n // 2, span * 1000000 + i * 1e-7) AS at FROM s GROUP BY row) SELECT f.row, round(fmod(d.a, 360), 3) AS median FROM f JOIN d ON f.row = d.row AND f.at = d.i""",
         "cells",
@@ -250,6 +250,6 @@ ORACLE = {
     ),
     "coverage_rollup": with_tables("WITH p AS (SELECT *, floor(y / 100)::BIGINT AS tile FROM points) SELECT coalesce(class, 'all') AS class, coalesce(tile, -1) AS tile, count(*) AS n, round(sum(w), 2) AS area, round(min(x), 3) AS least, round(max(x), 3) AS most, grouping_id(p.class, p.tile) AS level FROM p GROUP BY ROLLUP (p.class, p.tile)", "points"),
     "downsample": with_tables(
-        "WITH r AS (SELECT row, col, z, cell % 7 <> 0 AS valid FROM cells WHERE row < 100) SELECT row // 2 AS row, col // 2 AS col, round(avg(CASE WHEN valid THEN z END), 5) AS z, bool_or(valid) AS valid FROM r GROUP BY row // 2, col // 2", "cells"
+        "WITH r AS (SELECT row, col, z, cell % 7 <> 0 AS valid FROM cells) SELECT row // 2 AS row, col // 2 AS col, round(avg(CASE WHEN valid THEN z END), 5) AS z, bool_or(valid) AS valid FROM r GROUP BY row // 2, col // 2", "cells"
     ),
 }

@@ -91,7 +91,7 @@ def connection_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def rasterized(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels of diamonds, clipped at the tile."""
-    rings = _diamonds(spark, sf).filter("shape <= 100").select("shape", F.transform("ring", lambda p: F.struct((p["x"] / 4).alias("x"), (p["y"] / 4).alias("y"))).alias("ring"))
+    rings = _diamonds(spark, sf).select("shape", F.transform("ring", lambda p: F.struct((p["x"] / 4).alias("x"), (p["y"] / 4).alias("y"))).alias("ring"))
     return generators.rasterize(rings, ["shape"], 128).groupBy("shape").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("row") * 128 + F.col("col")).alias("key_sum"))
 
 
@@ -171,7 +171,7 @@ ORACLE = {
     ),
     "halo_tiles": with_tables("WITH t AS (SELECT col AS x, row AS y, z FROM cells WHERE row < 16 AND col < 16) SELECT a.x, a.y, count(*) AS tiles, round(sum(b.z * (dx + 3 * dy + 5)), 3) AS mix FROM t a, range(-1, 2) p(dx), range(-1, 2) q(dy), t b WHERE b.x = (a.x + dx + 16) % 16 AND b.y = greatest(0, least(15, a.y + dy)) GROUP BY a.x, a.y", "cells"),
     "connection_matrix": with_tables("WITH a AS (SELECT area_id, half, (lng - 8.5::DOUBLE) * 75000 AS x FROM areas), p AS (SELECT a.area_id, b.area_id AS to_area, f::INTEGER AS flip, abs(a.x + (CASE WHEN f % 2 = 0 THEN 1 ELSE -1 END) * a.half * 75000 - b.x - (CASE WHEN f // 2 = 0 THEN 1 ELSE -1 END) * b.half * 75000) AS m FROM a JOIN a b ON a.area_id <> b.area_id AND abs(a.x - b.x) <= 500, range(4) t(f)) SELECT area_id, to_area, flip, round(m, 4) AS metres, round(m / 16, 4) AS seconds FROM p", "areas"),
-    "rasterized": f"WITH s AS (SELECT shape, cx / 4 AS cx, cy / 4 AS cy, r / 4 AS r FROM ({_DIAMOND}) WHERE shape <= 100), h AS (SELECT shape, row, r - abs(row + 0.5 - cy) AS w, cx FROM s, range(128) t(row) WHERE abs(row + 0.5 - cy) < r), p AS (SELECT shape, row, col FROM h, range(128) t(col) WHERE col >= ceil(cx - w) AND col <= floor(cx + w)) SELECT shape, count(*) AS pixels, sum(row * 128 + col)::BIGINT AS key_sum FROM p GROUP BY shape",
+    "rasterized": f"WITH s AS (SELECT shape, cx / 4 AS cx, cy / 4 AS cy, r / 4 AS r FROM ({_DIAMOND})), h AS (SELECT shape, row, r - abs(row + 0.5 - cy) AS w, cx FROM s, range(128) t(row) WHERE abs(row + 0.5 - cy) < r), p AS (SELECT shape, row, col FROM h, range(128) t(col) WHERE col >= ceil(cx - w) AND col <= floor(cx + w)) SELECT shape, count(*) AS pixels, sum(row * 128 + col)::BIGINT AS key_sum FROM p GROUP BY shape",
     "tile_cover": with_tables(
         """WITH w AS (SELECT area_id, 2 * pi() * 6378137 / 65536 AS side, radians(lng - half) * 6378137 AS x0, radians(lng + half) * 6378137 AS x1, 6378137 * ln(tan(pi() / 4 + radians(lat - half) / 2)) AS y0, 6378137 * ln(tan(pi() / 4 + radians(lat + half) / 2)) AS y1 FROM areas),
         t AS (SELECT area_id, unnest(range(floor((x0 + pi() * 6378137) / side)::BIGINT - 1, floor((x1 + pi() * 6378137) / side)::BIGINT + 2)) AS tx, floor((pi() * 6378137 - y1) / side)::BIGINT - 1 AS a, floor((pi() * 6378137 - y0) / side)::BIGINT + 2 AS b FROM w) SELECT area_id, tx, unnest(range(a, b)) AS ty FROM t""",

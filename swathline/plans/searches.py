@@ -40,7 +40,7 @@ def quantile_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def cell_components(spark: SparkSession, sf: str) -> DataFrame:
     """Connected parts of the cells of equal size class."""
-    c = cells(spark, sf).filter("row < 40").withColumn("class", F.floor((F.col("row") * 7 + F.col("col") * F.col("col") * 3) % 5 / 2))
+    c = cells(spark, sf).withColumn("class", F.floor((F.col("row") * 7 + F.col("col") * F.col("col") * 3) % 5 / 2))
     e = neighbours.edges(c)
     k = c.select("cell", "class")
     same = e.join(k.select(F.col("cell").alias("a"), F.col("class").alias("ca")), "a").join(k.select(F.col("cell").alias("b"), F.col("class").alias("cb")), "b").filter("ca = cb")
@@ -89,7 +89,7 @@ ORACLE = {
         "cells",
     ),
     "cell_components": "WITH RECURSIVE " + with_tables(
-        """WITH c AS (SELECT cell, row, col, (row * 7 + col * col * 3) % 5 // 2 AS class FROM cells WHERE row < 40), e AS (SELECT a.cell AS a, b.cell AS b FROM c a JOIN c b ON a.class = b.class AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+        """WITH c AS (SELECT cell, row, col, (row * 7 + col * col * 3) % 5 // 2 AS class FROM cells), e AS (SELECT a.cell AS a, b.cell AS b FROM c a JOIN c b ON a.class = b.class AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
         walk(node, root) AS (SELECT cell, cell FROM c UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.node WHERE e.b > walk.root), least_root AS (SELECT node, min(root) AS component FROM walk GROUP BY node) SELECT component, count(*) AS cells FROM least_root GROUP BY component""",
         "cells",
     )[5:],
