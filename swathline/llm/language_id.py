@@ -144,10 +144,13 @@ class Languages:
             np.add.at(out[:, k], owner, per_lane)
         return out
 
-    def judge(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The language of each text, ties to the first by name, and the runner-up's share of both their costs."""
+    def judge(self, texts: list[str]) -> tuple[list[str | None], list[float]]:
+        """The language of each text, ties to the first by name, and the runner-up's share of both their costs.
+
+        `und` is a text without letters; None is one with letters where no language was learnt.
+        """
         if not self.names:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return [None if any(map(str.isalpha, t)) else "und" for t in texts], [0.0] * len(texts)
         cost = self.phrases(texts) * np.array(self.bits)
         best = cost.argmin(axis=1)
         names, scores = [], []
@@ -171,8 +174,9 @@ _judges: dict[tuple, Languages] = {}
 def identify(docs: DataFrame, training: dict[str, list[str]], budget: int = 16_384, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) for each row, from its whole text alone, and the columns named in `keep`.
 
-    `budget` symbols of each language's training text make its automaton, built once a worker. A null text, one
-    without letters, or a training without languages give `und` with score 0. No row moves between tasks.
+    `budget` symbols of each language's training text make its automaton, built once a worker. A null text and one
+    without letters give `und` with score 0, a training without languages null with score 0 for the others. No row
+    moves between tasks.
     """
     parts = tuple((k, tuple(v)) for k, v in sorted(training.items()))
 
@@ -194,7 +198,10 @@ def identify(docs: DataFrame, training: dict[str, list[str]], budget: int = 16_3
 
 
 def keep_known(docs: DataFrame, training: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the texts whose language can't be told for want of letters; every other column as it was."""
+    """docs without the texts whose language can't be told for want of letters; every other column as it was.
+
+    A training without languages takes no other text away.
+    """
     found = identify(docs, training, id_col=id_col, text_col=text_col)
     gone = found.filter("lang_pred = 'und'").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -68,3 +68,11 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.sample(df, F.lit(True)) == {}
     assert language_id.identify(df, {}).count() == 0
+
+
+def test_nothing_learnt_drops_no_letters(spark):
+    df = spark.createDataFrame([(1, "katomi", None), (2, "12 ... !", None), (3, None, None)], "doc_id long, text string, lang string")
+    train = language_id.sample(df, F.lit(True))
+    assert train == {}
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(df, train).collect()} == {1: None, 2: "und", 3: "und"}
+    assert [r.doc_id for r in language_id.keep_known(df, train).collect()] == [1]

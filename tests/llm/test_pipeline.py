@@ -63,3 +63,10 @@ def test_stages(spark, tmp_path):
         assert {r.doc_id for r in docs.select("doc_id").collect()} == kept, name
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert docs.agg(F.sum("length")).first()[0] == sum(len(full.encode(rows[i], add_special_tokens=False).ids) + 1 for i in kept)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_language_stage_without_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    lettered = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == lettered
