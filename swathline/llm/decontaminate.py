@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +35,31 @@ def _hashed(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(F.when(F.ascii(t) <= 3, F.left(t, F.lit(1))).otherwise(t)))
 
 
-def _windows(hashes: Column, size: int) -> Column:
-    n = F.size(hashes) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.slice(hashes, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def _marks(tokens: Column) -> Column:
+    """1 for each placeholder, 0 for each word."""
+    return F.transform(tokens, lambda t: (F.ascii(t) <= 3).cast("int"))
+
+
+def _windows(tokens: Column, hashes: Column, marks: Column, size: int, literals: int) -> Column:
+    """A hash of each window: of its template, or of its very values where it has fewer than `literals` words."""
+    n, need = F.size(hashes) - size + 1, min(literals, size)
+    many = F.size(F.array_remove(marks, 0)) > size - need
+
+    def one(i: Column) -> Column:
+        exact = many & (F.size(F.array_remove(F.slice(marks, i, size), 1)) < need)
+        return F.when(exact, F.xxhash64(F.lit(-size), F.slice(tokens, i, size))).otherwise(F.xxhash64(F.lit(size), F.slice(hashes, i, size)))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _literal(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.ascii(t) > 3))
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 5, cover: float = 0.3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """(doc_id, item_id, matched, windows, reparameterised, contaminated) for every document that holds a benchmark item.
-
-    A window of `window` template tokens, of which at least `literals` are words, matches wherever its hash occurs.
-    An item of fewer tokens is one window of them all, and needs `literals` words or no placeholder at all. A document
-    holds an item if consistent placements match at least `cover` of the item's windows. A placement (document
-    position less item position) is consistent if equal slot values of the item always have equal values in the
-    document. reparameterised: some slot's value differs.
+def _keys(benchmark: DataFrame, window: int, literals: int, item_col: str, item_text: str) -> tuple[DataFrame | None, list[int]]:
+    """(item_id, item_at, hash, item_values, windows, counts) for every window that is searched for, and the window sizes.
 
-    Null and empty texts hold nothing; items without words match nothing; rows that repeat an id are judged together,
-    those without an id as one document without an id. Only matches leave the task that reads a document.
+    counts: whether the window is one of the `windows` that an item's share is taken of.
     """
     # Inside a document an item's first word, if capitalised, can stand where names do; so its first window has two forms.
     forms = F.explode(F.array_distinct(F.array(*[template_tokens(F.concat(F.lit(before), F.col(item_text))) for before in ("", ", ")])))
@@ -65,29 +70,63 @@ def contaminated(
     parts = []
     for size in sizes:
         own = items.filter(F.col("size") == size)
-        own = own.select("item_id", "inner", "item_tokens", F.posexplode(_windows(_hashed(F.col("item_tokens")), size)).alias("item_at", "hash"))
+        hashes = _windows(F.col("item_tokens"), _hashed(F.col("item_tokens")), _marks(F.col("item_tokens")), size, literals)
+        own = own.select("item_id", "inner", "item_tokens", F.posexplode(hashes).alias("item_at", "hash"))
         parts.append(own.filter("NOT inner OR item_at = 0").select("item_id", "item_at", "hash", F.slice("item_tokens", F.col("item_at") + 1, size).alias("item_values")))
-    out = "doc_id", "item_id", "matched", "windows", "reparameterised", "contaminated"
     if not parts:
-        empty = docs.sparkSession.createDataFrame([], f"item_id {benchmark.schema[item_col].dataType.simpleString()}")
-        return docs.select(F.col(id_col).alias("doc_id")).limit(0).crossJoin(empty.limit(0)).selectExpr("doc_id", "item_id", "0L matched", "0L windows", "false reparameterised", "true contaminated")
+        return None, sizes
     keys = parts[0]
     for p in parts[1:]:
         keys = keys.unionByName(p)
-    words = _literal(F.col("item_values"))
-    keys = keys.filter((words >= F.least(F.lit(literals), F.size("item_values"))) & (words > 0))
-    keys = keys.join(keys.groupBy(F.col("item_id").alias("of")).agg(F.countDistinct("item_at").alias("windows")), F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
+    keys = keys.filter(F.exists("item_values", lambda t: t.rlike(r"\p{L}")))
+    keys = keys.withColumn("template", _literal(F.col("item_values")) >= F.least(F.lit(literals), F.size("item_values")))
+    both = keys.groupBy(F.col("item_id").alias("of")).agg(F.countDistinct(F.when(F.col("template"), F.col("item_at"))).alias("templates"), F.countDistinct("item_at").alias("all"))
+    keys = keys.join(both, F.col("item_id").eqNullSafe(F.col("of"))).withColumn("windows", F.when(F.col("templates") > 0, F.col("templates")).otherwise(F.col("all")))
+    return keys.withColumn("counts", F.col("template") | (F.col("templates") == 0)).drop("of", "template", "templates", "all"), sizes
+
+
+def unsearched(benchmark: DataFrame, window: int = 8, literals: int = 5, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id) of the items that aren't blank and yet never searched for, as they have no letter."""
+    keys, _ = _keys(benchmark, window, literals, item_col, item_text)
+    there = benchmark.filter(F.col(item_text).rlike(r"\S")).select(F.col(item_col).alias("item_id")).distinct()
+    return there if keys is None else there.join(keys.select(F.col("item_id").alias("of")).distinct(), F.col("item_id").eqNullSafe(F.col("of")), "left_anti")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 5, cover: float = 0.3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """(doc_id, item_id, matched, windows, reparameterised, contaminated) for every document that holds a benchmark item.
+
+    A window of `window` template tokens, of which at least `literals` are words, matches wherever its hash occurs; one
+    with fewer words matches where its very values occur. An item of fewer tokens is one window of them all, and needs
+    `literals` words or no placeholder at all to match as a template. A document holds an item if consistent placements
+    match at least `cover` of the item's windows: of its template windows, or of all where it has none of those. A
+    placement (document position less item position) is consistent if equal slot values of the item always have equal
+    values in the document. reparameterised: some slot's value differs.
+
+    Null and empty texts hold nothing; windows and items without a letter match nothing, and a warning says how many
+    such items there are (`unsearched` names them). Rows that repeat an id are judged together, those without an id as
+    one document without an id. Only matches leave the task that reads a document.
+    """
+    keys, sizes = _keys(benchmark, window, literals, item_col, item_text)
+    lost = unsearched(benchmark, window, literals, item_col, item_text).count()
+    if lost:
+        warnings.warn(f"{lost} benchmark items have no letter and aren't searched for", stacklevel=2)
+    out = "doc_id", "item_id", "matched", "windows", "reparameterised", "contaminated"
+    if keys is None:
+        empty = docs.sparkSession.createDataFrame([], f"item_id {benchmark.schema[item_col].dataType.simpleString()}")
+        return docs.select(F.col(id_col).alias("doc_id")).limit(0).crossJoin(empty.limit(0)).selectExpr("doc_id", "item_id", "0L matched", "0L windows", "false reparameterised", "true contaminated")
     few = keys.count() <= BROADCAST_WINDOWS
 
     tokens = docs.select(F.col(id_col).alias("doc_id"), template_tokens(F.col(text_col)).alias("tokens"))
-    tokens = tokens.withColumn("hashes", _hashed(F.col("tokens")))
-    all_windows = F.concat(*[F.transform(_windows(F.col("hashes"), s), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for s in sizes])
+    tokens = tokens.withColumn("hashes", _hashed(F.col("tokens"))).withColumn("marks", _marks(F.col("tokens")))
+    all_windows = F.concat(*[F.transform(_windows(F.col("tokens"), F.col("hashes"), F.col("marks"), s, literals), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for s in sizes])
     seen = tokens.select("doc_id", "tokens", F.explode(all_windows).alias("w"))
     met = seen.join(F.broadcast(keys) if few else keys, F.col("w.hash") == F.col("hash"))
     met = met.withColumn("values", F.slice("tokens", F.col("w.at") + 1, F.size("item_values")))
     pairs = F.filter(F.arrays_zip(F.col("item_values").alias("was"), F.col("values").alias("is")), lambda p: F.ascii(p["was"]) <= 3)
-    met = met.select("doc_id", "item_id", "windows", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), pairs.alias("slots"))
-    placed = met.groupBy("doc_id", "item_id", "windows", "shift").agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    met = met.select("doc_id", "item_id", "windows", "counts", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), pairs.alias("slots"))
+    placed = met.groupBy("doc_id", "item_id", "windows", "shift").agg(F.collect_set(F.when(F.col("counts"), F.col("item_at"))).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     placed = placed.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["was"]))))
     other = F.exists("slots", lambda p: p["was"] != p["is"])
     held = placed.groupBy("doc_id", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("matched"), F.bool_or(other).alias("reparameterised"))

@@ -44,3 +44,17 @@ def test_empty(spark):
     docs, items = frames(spark)
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
+SLOTTED = ["What is 15% of 240?", "Compute 17 * 23 + 4.", "Solve 3x + 5 = 20 for x.", "Convert 5 km to miles.", "Who wrote Pride and Prejudice?", "Who was King of England in 1066?", "Add 1, 2 and 3, then 4, 5 and 6, then 7, 8 and 9."]
+
+
+def test_items_rich_in_placeholders_are_found_verbatim(spark):
+    items = list(enumerate(SLOTTED)) + [(50, "12 34"), (51, ""), (52, "??")]
+    docs = [(i, PLAIN + t + " And so on.") for i, t in enumerate(SLOTTED)] + [(60, PLAIN + "What is 16% of 240?"), (61, "1, 2, 3, 4, 5, 6, 7, 8, 9 or 12 34"), (62, None)]
+    df, bench = frames(spark, docs, items)
+    with pytest.warns(UserWarning, match="2 benchmark items"):
+        got = decontaminate.contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(len(SLOTTED))}
+    assert not any(r.reparameterised for r in got)
+    assert sorted(r.item_id for r in decontaminate.unsearched(bench).collect()) == [50, 52]
