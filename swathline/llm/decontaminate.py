@@ -43,13 +43,13 @@ def _marks(tokens: Column) -> Column:
 def _windows(tokens: Column, hashes: Column, marks: Column, size: int, literals: int) -> Column:
     """A hash of each window: of its template, or of its very values where it has fewer than `literals` words."""
     n, need = F.size(hashes) - size + 1, min(literals, size)
+    template = lambda i: F.xxhash64(F.lit(size), F.slice(hashes, i, size))
+    values = lambda i: F.xxhash64(F.lit(-size), F.slice(tokens, i, size))
+    words = lambda i: F.size(F.array_remove(F.slice(marks, i, size), 1))
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    # Most texts have too few placeholders for such a window, and don't count them.
     many = F.size(F.array_remove(marks, 0)) > size - need
-
-    def one(i: Column) -> Column:
-        exact = many & (F.size(F.array_remove(F.slice(marks, i, size), 1)) < need)
-        return F.when(exact, F.xxhash64(F.lit(-size), F.slice(tokens, i, size))).otherwise(F.xxhash64(F.lit(size), F.slice(hashes, i, size)))
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n <= 0, F.array().cast("array<bigint>")).when(many, F.transform(at, lambda i: F.when(words(i) < need, values(i)).otherwise(template(i)))).otherwise(F.transform(at, template))
 
 
 def _literal(tokens: Column) -> Column:
@@ -69,8 +69,8 @@ def _keys(benchmark: DataFrame, window: int, literals: int, item_col: str, item_
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
     parts = []
     for size in sizes:
-        own = items.filter(F.col("size") == size)
-        hashes = _windows(F.col("item_tokens"), _hashed(F.col("item_tokens")), _marks(F.col("item_tokens")), size, literals)
+        own = items.filter(F.col("size") == size).withColumn("hashes", _hashed(F.col("item_tokens"))).withColumn("marks", _marks(F.col("item_tokens")))
+        hashes = _windows(F.col("item_tokens"), F.col("hashes"), F.col("marks"), size, literals)
         own = own.select("item_id", "inner", "item_tokens", F.posexplode(hashes).alias("item_at", "hash"))
         parts.append(own.filter("NOT inner OR item_at = 0").select("item_id", "item_at", "hash", F.slice("item_tokens", F.col("item_at") + 1, size).alias("item_values")))
     if not parts:
@@ -93,7 +93,7 @@ def unsearched(benchmark: DataFrame, window: int = 8, literals: int = 5, item_co
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 5, cover: float = 0.3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 5, cover: float = 0.3, run: int = 16, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, matched, windows, reparameterised, contaminated) for every document that holds a benchmark item.
 
@@ -104,6 +104,10 @@ def contaminated(
     placement (document position less item position) is consistent if equal slot values of the item always have equal
     values in the document. reparameterised: some slot's value differs.
 
+    However long the item, a document also holds it from `run` consecutive tokens with the item's very values on (two
+    windows end to end; 13, a tail that templates with other slots share, is no leak by the tests).
+    matched counts windows of consistent placements and of such runs.
+
     Null and empty texts hold nothing; windows and items without a letter match nothing, and a warning says how many
     such items there are (`unsearched` names them). Rows that repeat an id are judged together, those without an id as
     one document without an id. Only matches leave the task that reads a document.
@@ -126,11 +130,19 @@ def contaminated(
     met = met.withColumn("values", F.slice("tokens", F.col("w.at") + 1, F.size("item_values")))
     pairs = F.filter(F.arrays_zip(F.col("item_values").alias("was"), F.col("values").alias("is")), lambda p: F.ascii(p["was"]) <= 3)
     met = met.select("doc_id", "item_id", "windows", "counts", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), pairs.alias("slots"))
-    placed = met.groupBy("doc_id", "item_id", "windows", "shift").agg(F.collect_set(F.when(F.col("counts"), F.col("item_at"))).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    placed = placed.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["was"]))))
-    other = F.exists("slots", lambda p: p["was"] != p["is"])
-    held = placed.groupBy("doc_id", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("matched"), F.bool_or(other).alias("reparameterised"))
-    return held.filter(F.col("matched") >= F.lit(cover) * F.col("windows")).withColumn("contaminated", F.lit(True)).select(*out)
+    same = F.forall("slots", lambda p: p["was"] == p["is"])
+    placed = met.groupBy("doc_id", "item_id", "windows", "shift").agg(
+        F.collect_set(F.when(F.col("counts"), F.col("item_at"))).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.array_sort(F.collect_set(F.when(same, F.col("item_at")))).alias("exact"), F.collect_set(F.when(same & F.col("counts"), F.col("item_at"))).alias("exact_found"),
+    )
+    # A run of `run` tokens is so many windows one after the other: in sorted order, the last stands as far ahead.
+    more = max(run - window, 0)
+    quoted = F.when(F.size("exact") > more, F.exists(F.sequence(F.lit(0), F.size("exact") - 1 - more), lambda i: F.get("exact", i + more) - F.get("exact", i) == more)).otherwise(False) & F.lit(window in sizes)
+    placed = placed.withColumn("fits", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["was"])))).withColumn("quoted", quoted).filter("fits OR quoted")
+    other = F.col("fits") & F.exists("slots", lambda p: p["was"] != p["is"])
+    found = F.when(F.col("fits"), F.col("found")).otherwise(F.col("exact_found"))
+    held = placed.groupBy("doc_id", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list(found)))).cast("long").alias("matched"), F.bool_or(other).alias("reparameterised"), F.bool_or("quoted").alias("quoted"))
+    return held.filter(F.col("quoted") | (F.col("matched") >= F.lit(cover) * F.col("windows"))).withColumn("contaminated", F.lit(True)).select(*out)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kinds) -> DataFrame:

@@ -58,3 +58,15 @@ def test_items_rich_in_placeholders_are_found_verbatim(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(len(SLOTTED))}
     assert not any(r.reparameterised for r in got)
     assert sorted(r.item_id for r in decontaminate.unsearched(bench).collect()) == [50, 52]
+
+
+def test_quotes_of_long_items(spark):
+    long = ["".join("abcdefghij"[int(d)] for d in str(1000 + i)) for i in range(400)]
+    items = [(1, " ".join(long)), (2, "red 1 " + " ".join(long[:40][::-1]) + " 1 blue"), (3, "short one here")]
+    quote = lambda n: PLAIN + " ".join(long[150 : 150 + n]) + " and after"
+    odd = "red 1 " + " ".join(long[:40][::-1][:20]) + " x" * 20 + " 2 blue"
+    docs = [(1, quote(100)), (2, quote(16)), (3, quote(15)), (4, " ".join(x for i, x in enumerate(long) if i % 12)), (5, PLAIN), (6, odd)]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(*frames(spark, docs, items)).collect()}
+    assert {k[0] for k in got if k[1] == 1} == {1, 2, 4} and (6, 2) in got
+    assert got[1, 1].matched == 93 and got[2, 1].matched == 9 and got[1, 1].windows == 393 and not got[1, 1].reparameterised
+    assert [r.doc_id for r in decontaminate.drop_contaminated(*frames(spark, docs, items)).orderBy("doc_id").collect()] == [3, 5]
