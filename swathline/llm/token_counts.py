@@ -33,6 +33,8 @@ class PieceCounter:
 
     def short(self, texts: pa.Array) -> np.ndarray:
         """Counts of many texts, each distinct segment encoded once."""
+        # A literal U+2581 is a space to the model.
+        texts = pc.replace_substring(texts, _SPACE, " ")
         if not self.stable:
             return np.array([len(x) for x in self.model.encode(texts.to_pylist(), num_threads=1)], np.int64)
         seg = Segmented(texts, _ODD, _CUT)
@@ -50,7 +52,7 @@ class PieceCounter:
         follows another character; from there on both must agree, as no merge crosses it. If the overlap
         has no such place it is doubled, up to the end of the text, where one chunk holds the rest.
         """
-        total, start = 0, 0
+        text, total, start = text.replace(_SPACE, " "), 0, 0
         while True:
             span = overlap
             while True:
@@ -61,7 +63,8 @@ class PieceCounter:
                     return total + len(begins) - int(np.searchsorted(begins, 1 if start else 0))
                 nxt = self._begins(text[start + chunk : stop]) + chunk
                 both = np.intersect1d(begins, nxt[nxt > chunk])
-                cuts = [p for p in both[::-1].tolist() if part[p] == " " and part[p - 1] != " "] if self.stable else []
+                # Bytes that go on a character at the chunk's end begin past it: no place to cut.
+                cuts = [p for p in both[::-1].tolist() if p < len(part) and part[p] == " " and part[p - 1] != " "] if self.stable else []
                 if cuts:
                     break
                 span *= 2
@@ -104,8 +107,7 @@ def count_tokens(docs: DataFrame, model_path: str, chunk: int = 1 << 16, overlap
             for first, part in slices(texts.filter(pa.array(~huge))):
                 out[small[first : first + len(part)]] = counter.short(part)
             for i in np.flatnonzero(huge):
-                # A literal U+2581 is a space to the model.
-                out[i] = counter.long(texts[int(i)].as_py().replace(_SPACE, " "), chunk, overlap)
+                out[i] = counter.long(texts[int(i)].as_py(), chunk, overlap)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(out)], names=["doc_id", "n_bytes", "n_tokens"])
 
     flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

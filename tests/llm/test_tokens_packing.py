@@ -33,6 +33,31 @@ def test_counts_are_the_library_s(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+ODD = ["▁", " ", "  ", "a", "b", "the", "é", "\U00020000", "\U00020001", "\x00", "\x01", "\t", "\n", "\r", "　", "\u00a0", "日", "<s>", "<unk>", "<0x0A>", ".", "1", "\u0301", "\ufeff", "\u200b"]
+
+
+def test_random_texts_count_as_the_library():
+    """Markers, characters without a piece, control characters and mixed white space, on both paths."""
+    rng = np.random.default_rng(8)
+    counter = token_counts.PieceCounter(MODEL)
+    texts = ["".join(rng.choice(ODD, size=int(n))) for n in rng.integers(0, 14, 10_000)]
+    want = [len(x) for x in counter.model.encode(texts, num_threads=1)]
+    assert counter.short(pa.array(texts)).tolist() == want
+    for chunk, overlap in ((30, 1), (47, 7), (300, 64)):
+        for n in rng.integers(0, 400, 80):
+            text = "".join(rng.choice(ODD, size=int(n)))
+            assert counter.long(text, chunk, overlap) == len(counter.model.encode(text)), repr(text)
+
+
+def test_huge_documents(spark):
+    """Texts beyond a chunk of 65,536 characters, one that ends its chunks in characters without a piece."""
+    rng = np.random.default_rng(9)
+    texts = ["\U00020000\U00020001 " * 50_000, "".join(rng.choice(ODD, size=150_000)), "▁ " * 40_000, "x" * 70_000, "word by word " * 9000]
+    model = SentencePieceProcessor(model_file=MODEL)
+    got = token_counts.count_tokens(docs(spark, list(enumerate(texts))), MODEL).collect()
+    assert sorted(map(tuple, got)) == [(i, len(t.encode()), len(model.encode(t))) for i, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize("overlap", [1, 7, 64])
 def test_chunks_splice_to_the_whole(overlap):
     rng = np.random.default_rng(overlap)
