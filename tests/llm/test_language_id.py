@@ -16,33 +16,44 @@ def text(rng, lang, n):
 
 
 def plain_phrases(train, s):
-    """Greedy parse of each run of LANE symbols against the training string."""
-    total = 0
-    for i in range(0, len(s), language_id.LANE):
-        run, at = s[i : i + language_id.LANE], 0
-        while at < len(run):
-            n = 1
-            while at + n < len(run) + 0 and run[at : at + n + 1] in train:
-                n += 1
-            total, at = total + 1, at + n
+    """Greedy parse of the whole text against the training string."""
+    total = at = 0
+    while at < len(s):
+        n = 1
+        while at + n < len(s) and s[at : at + n + 1] in train:
+            n += 1
+        total, at = total + 1, at + n
     return total
 
 
-def test_phrases_against_plain_parse():
-    rng = random.Random(1)
-    train = {k: [text(rng, k, 60), text(rng, k, 60)] for k in SYLLABLES}
-    model = language_id.Languages(train, 300)
+def hold(model, train, cases):
     as_text = lambda codes: "".join(map(chr, codes))
-    cases = [text(rng, k, n) for k in SYLLABLES for n in (1, 5, 200)] + ["", "Ω Ωa!! 12", "   ", "KATO, mi\nra!" * 50]
     got = model.phrases(cases)
     for k, name in enumerate(model.names):
-        symbols = []
-        for t in train[name]:
-            symbols += [language_id.SEPARATOR, *model.symbols([t])[0][: 300 - len(symbols)].tolist()]
-            if len(symbols) >= 300:
-                break
+        known = as_text([x for t in train[name] for x in (language_id.SEPARATOR, *model.symbols([t])[0].tolist())])
         for i, case in enumerate(cases):
-            assert got[i, k] == plain_phrases(as_text(symbols), as_text(model.symbols([case])[0].tolist()))
+            assert got[i, k] == plain_phrases(known, as_text(model.symbols([case])[0].tolist())), (name, case[:60])
+
+
+def test_phrases_against_plain_parse():
+    rng = random.Random(1)
+    train = {k: [text(rng, k, 60), text(rng, k, 60)] for k in SYLLABLES}
+    hold(language_id.Languages(train), train, [text(rng, k, n) for k in SYLLABLES for n in (1, 5, 200, 900)] + ["", "Ω Ωa!! 12", "   ", "KATO, mi\nra!" * 50])
+
+
+def test_phrases_that_cross_lanes():
+    """Copies of the training text, and runs of a letter, whose phrases never begin where lanes do."""
+    rng = random.Random(3)
+    train = {"aa": ["a" * 300 + text(rng, "aa", 400)], "bb": ["b" * 7 + "x", text(rng, "bb", 500) * 2], "cc": ["a"]}
+    hold(language_id.Languages(train), train, ["a" * 5000, "z" + "a" * 2000, train["aa"][0] * 3, "q" + train["bb"][1][5:] + "b" * 3000, "b" * 1000 + train["bb"][1], "ab" * 900, "z" * 700])
+
+
+def test_many_scripts():
+    """Every letter of a language's training text counts, however many others there are."""
+    train = {f"l{k}": ["".join(chr(0x4E00 + 300 * k + i % 300) for i in range(0, 1500, 7))] for k in range(30)}
+    model = language_id.Languages(train)
+    names, _ = model.judge([t[0][20:90] for t in train.values()])
+    assert names == list(train)
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -76,3 +87,23 @@ def test_nothing_learnt_drops_no_letters(spark):
     assert train == {}
     assert {r.doc_id: r.lang_pred for r in language_id.identify(df, train).collect()} == {1: None, 2: "und", 3: "und"}
     assert [r.doc_id for r in language_id.keep_known(df, train).collect()] == [1]
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Null and repeated ids, clashing names, and a very long text."""
+    rows = [(1, "katomi", "x", 1.0), (1, "12", "x", 1.0), (None, "12 !", None, None), (None, "rato", None, None), (2, "mira " * 40_000, "", 0.0), (2, None, "", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double")
+    left = language_id.keep_known(df, {"aa": ["katomi rato mira"]})
+    assert left.columns == df.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in df.collect() if r.text and "a" in r.text)
+
+
+def test_sample_is_of_whole_rows(spark):
+    rows = [(i, "w" * (10 + i), "en") for i in range(200)] + [(500, "y" * 3000, "fr"), (501, "y" * 2900, "fr"), (502, None, "de"), (503, "5", "de"), (504, "z" * 90_000, "la"), (505, "v" * 95_000, "la")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {t for _, t, _ in rows}
+    got = language_id.sample(df, F.lit(True), per_language=20, total=2000, longest=300)
+    assert set(got) == {"en", "fr", "la"} and all(t in texts for part in got.values() for t in part)
+    assert got["fr"] == ["y" * 2900] and got["la"] == ["z" * 90_000] and 1 < len(got["en"]) <= 20 and sum(map(len, got["en"])) <= 2000
+    with pytest.raises(ValueError, match="labels"):
+        language_id.sample(spark.range(500).selectExpr("id AS doc_id", "'a' AS text", "string(id) AS lang"), F.lit(True))
