@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 #: White space in the word rules of this package: space, tab, line feed, vertical tab, form feed, return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
+#: Rows of some tens of bytes that may be broadcast, once they are counted; more are joined by shuffle.
+BROADCAST_ROWS = 400_000
+#: A key with more than this share of the rows is hot; there are at most as many of them as its inverse.
+HOT_SHARE = 1000
+
 _written: list[str] = []
 
 
@@ -21,9 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session of one machine gets a temporary one; on a cluster nothing else would do.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="swathline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -55,6 +65,26 @@ def _drop_written(spark: SparkSession) -> None:
     _written.clear()
 
 
+def without(docs: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """docs without the rows that meet a row of gone; few of those are broadcast, so that no text moves."""
+    gone = written(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti")
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined (inner, left or left_anti) with right, which has a row for each key that says how many rows `n` of left have it.
+
+    A key with over a HOT_SHARE-th of all `rows` would land in one task: there are at most HOT_SHARE such keys, which are
+    broadcast, and only the others are shuffled. left is read twice, so it should be a table or cheap. Null keys meet nothing.
+    """
+    hot = right.filter(F.col(n) * HOT_SHARE > rows)
+    rest = right.filter(F.col(n) * HOT_SHARE <= rows)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    if how == "left_anti":
+        return cold.join(rest.select(*keys), keys, "left_anti")
+    return cold.join(rest, keys, how).unionByName(left.join(F.broadcast(hot), keys))
+
+
 def with_rank(df: DataFrame, group: list[str], order: list[str | Column], rows: int, name: str = "rank", target: int = 50_000) -> DataFrame:
     """df with a long `name`: 0, 1, 2, ... without gaps within each group.
 

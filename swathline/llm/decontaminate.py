@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import without
+
 #: Windows of a benchmark up to this many (some 100 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Marks of the typed placeholders, and the unit words that may follow a number.
@@ -23,37 +25,48 @@ def template_tokens(text: Column) -> Column:
     Numbers with their separators are numbers; unit words right after one are units; capitalised words that follow a
     word or a comma, and so don't begin a sentence, are names. Punctuation and line breaks say nothing else.
     """
-    x = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
-    x = F.regexp_replace(x, r"[+-]?\d+(?:[.,:/]\d+)*", f" {NUMBER}$0 ")
-    x = F.regexp_replace(x, rf"({NUMBER}\S+ )\s*({UNITS})(?![\p{{L}}\p{{M}}])", f"$1{UNIT}$2 ")
-    x = F.regexp_replace(x, rf"(?<=[\p{{L}}\p{{M}},;] )\p{{Lu}}[\p{{Ll}}\p{{M}}]+", f" {NAME}$0 ")
-    return F.regexp_extract_all(F.lower(x), F.lit(rf"[{NUMBER}-{NAME}]\S*|[\p{{L}}\p{{M}}]+"), F.lit(0))
-
+    x = F.coalesce(text, F.lit(""))
+    for mark in (NUMBER, UNIT, NAME):
+        x = F.replace(x, F.lit(mark), F.lit(" "))
+    x = F.regexp_replace(x, rf"([+-]?\d+(?:[.,:/]\d+)*)(?:\s*({UNITS})(?![\p{{L}}\p{{M}}]))?", f" {NUMBER}$1 {UNIT}$2 ")
+    x = F.regexp_replace(x, rf"(?<=[\p{{L}}\p{{M}},;] )\p{{Lu}}[\p{{Ll}}\p{{M}}]++", f" {NAME}$0 ")
+    return F.regexp_extract_all(F.lower(x), F.lit(rf"[{NUMBER}-{NAME}]\S++|[\p{{L}}\p{{M}}]++"), F.lit(0))
 
-def _hashed(tokens: Column) -> Column:
-    """A hash of each template token; placeholders of a kind are alike."""
-    return F.transform(tokens, lambda t: F.xxhash64(F.when(F.ascii(t) <= 3, F.left(t, F.lit(1))).otherwise(t)))
 
+def _is_slot(token: Column) -> Column:
+    return F.ascii(token) <= 3
 
-def _marks(tokens: Column) -> Column:
-    """1 for each placeholder, 0 for each word."""
-    return F.transform(tokens, lambda t: (F.ascii(t) <= 3).cast("int"))
 
+def _windows(rows: DataFrame, sizes: list[int], literals: int) -> DataFrame:
+    """rows (with `tokens`) for every window of each size: at (from 0), size, hash.
 
-def _windows(tokens: Column, hashes: Column, marks: Column, size: int, literals: int) -> Column:
-    """A hash of each window: of its template, or of its very values where it has fewer than `literals` words."""
-    n, need = F.size(hashes) - size + 1, min(literals, size)
-    template = lambda i: F.xxhash64(F.lit(size), F.slice(hashes, i, size))
-    values = lambda i: F.xxhash64(F.lit(-size), F.slice(tokens, i, size))
-    words = lambda i: F.size(F.array_remove(F.slice(marks, i, size), 1))
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    # Most texts have too few placeholders for such a window, and don't count them.
-    many = F.size(F.array_remove(marks, 0)) > size - need
-    return F.when(n <= 0, F.array().cast("array<bigint>")).when(many, F.transform(at, lambda i: F.when(words(i) < need, values(i)).otherwise(template(i)))).otherwise(F.transform(at, template))
+    The hash is that of the template, where placeholders of a kind are alike, or of the very values where the window
+    has fewer than `literals` words. Neighbouring tokens stand side by side as columns, so a window is hashed in generated code.
+    """
+    top = max(sizes)
+    hashes = F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.left(t, F.lit(1))).otherwise(t)))
+    rows = rows.withColumn("__h", hashes)
+    n = F.size("tokens")
+    beside = F.arrays_zip(*[(F.slice("__h", k + 1, F.greatest(n - k, F.lit(0))) if k else F.col("__h")).alias(f"h{k}") for k in range(top)])
+    rows = rows.withColumn("__n", n).select("*", F.posexplode(beside).alias("at", "z")).drop("__h")
+    slot = [F.xxhash64(F.lit(m)) for m in (NUMBER, UNIT, NAME)]
+
+    def key(size: int) -> Column:
+        parts = [F.col(f"z.h{k}") for k in range(size)]
+        words = sum((F.when((p == slot[0]) | (p == slot[1]) | (p == slot[2]), 0).otherwise(1) for p in parts), F.lit(0))
+        values = F.xxhash64(F.lit(-size), F.slice("tokens", F.col("at") + 1, size))
+        return F.when(words < min(literals, size), values).otherwise(F.xxhash64(F.lit(size), *parts))
+
+    if len(sizes) == 1:
+        rows = rows.filter(F.col("at") + top <= F.col("__n")).select("*", F.lit(top).alias("size"), key(top).alias("hash"))
+    else:
+        each = F.array(*[F.when(F.col("at") + s <= F.col("__n"), F.struct(F.lit(s).alias("size"), key(s).alias("hash"))) for s in sizes])
+        rows = rows.select("*", F.explode(each).alias("w")).filter("w IS NOT NULL").select("*", "w.size", "w.hash").drop("w")
+    return rows.drop("z", "__n")
 
 
 def _literal(tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: F.ascii(t) > 3))
+    return F.size(F.filter(tokens, lambda t: ~_is_slot(t)))
 
 
 def _keys(benchmark: DataFrame, window: int, literals: int, item_col: str, item_text: str) -> tuple[DataFrame | None, list[int]]:
@@ -63,21 +76,14 @@ def _keys(benchmark: DataFrame, window: int, literals: int, item_col: str, item_
     """
     # Inside a document an item's first word, if capitalised, can stand where names do; so its first window has two forms.
     forms = F.explode(F.array_distinct(F.array(*[template_tokens(F.concat(F.lit(before), F.col(item_text))) for before in ("", ", ")])))
-    items = benchmark.select(F.col(item_col).alias("item_id"), template_tokens(F.col(item_text)).alias("plain"), forms.alias("item_tokens")).distinct()
-    items = items.withColumn("inner", F.col("item_tokens") != F.col("plain")).drop("plain")
-    items = items.withColumn("size", F.least(F.size("item_tokens"), F.lit(window))).filter("size > 0")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
-    parts = []
-    for size in sizes:
-        own = items.filter(F.col("size") == size).withColumn("hashes", _hashed(F.col("item_tokens"))).withColumn("marks", _marks(F.col("item_tokens")))
-        hashes = _windows(F.col("item_tokens"), F.col("hashes"), F.col("marks"), size, literals)
-        own = own.select("item_id", "inner", "item_tokens", F.posexplode(hashes).alias("item_at", "hash"))
-        parts.append(own.filter("NOT inner OR item_at = 0").select("item_id", "item_at", "hash", F.slice("item_tokens", F.col("item_at") + 1, size).alias("item_values")))
-    if not parts:
+    items = benchmark.select(F.col(item_col).alias("item_id"), template_tokens(F.col(item_text)).alias("plain"), forms.alias("tokens")).distinct()
+    items = items.withColumn("inner", F.col("tokens") != F.col("plain")).drop("plain")
+    items = items.withColumn("own", F.least(F.size("tokens"), F.lit(window))).filter("own > 0")
+    sizes = sorted(r["own"] for r in items.select("own").distinct().collect())  # at most `window` values
+    if not sizes:
         return None, sizes
-    keys = parts[0]
-    for p in parts[1:]:
-        keys = keys.unionByName(p)
+    keys = _windows(items, sizes, literals).filter("size = own AND (NOT inner OR at = 0)")
+    keys = keys.select("item_id", F.col("at").alias("item_at"), "hash", F.slice("tokens", F.col("at") + 1, F.col("size")).alias("item_values"))
     keys = keys.filter(F.exists("item_values", lambda t: t.rlike(r"\p{L}")))
     keys = keys.withColumn("template", _literal(F.col("item_values")) >= F.least(F.lit(literals), F.size("item_values")))
     both = keys.groupBy(F.col("item_id").alias("of")).agg(F.countDistinct(F.when(F.col("template"), F.col("item_at"))).alias("templates"), F.countDistinct("item_at").alias("all"))
@@ -109,29 +115,38 @@ def contaminated(
     matched counts windows of consistent placements and of such runs.
 
     Null and empty texts hold nothing; windows and items without a letter match nothing, and a warning says how many
-    such items there are (`unsearched` names them). Rows that repeat an id are judged together, those without an id as
-    one document without an id. Only matches leave the task that reads a document.
+    such items there are (`unsearched` names them). Rows are judged by id and text: those that repeat both are one, those
+    that share an id, or have none, are each judged alone and may each give a row. Empty tables give no rows. Only
+    matches leave the task that reads a document while the keys are few; otherwise windows with their values do, never
+    whole documents.
     """
+    return _held(docs, benchmark, window, literals, cover, run, id_col, text_col, item_col, item_text).drop("text_hash")
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 5, cover: float = 0.3, run: int = 16, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """As contaminated, with the hash of the text by which rows of one id are told apart."""
     keys, sizes = _keys(benchmark, window, literals, item_col, item_text)
     lost = unsearched(benchmark, window, literals, item_col, item_text).count()
     if lost:
-        warnings.warn(f"{lost} benchmark items have no letter and aren't searched for", stacklevel=2)
-    out = "doc_id", "item_id", "matched", "windows", "reparameterised", "contaminated"
+        warnings.warn(f"{lost} benchmark items have no letter and aren't searched for", stacklevel=3)
+    row = "doc_id", "text_hash"
+    out = *row, "item_id", "matched", "windows", "reparameterised", "contaminated"
     if keys is None:
-        empty = docs.sparkSession.createDataFrame([], f"item_id {benchmark.schema[item_col].dataType.simpleString()}")
-        return docs.select(F.col(id_col).alias("doc_id")).limit(0).crossJoin(empty.limit(0)).selectExpr("doc_id", "item_id", "0L matched", "0L windows", "false reparameterised", "true contaminated")
+        none = "0L text_hash", f"CAST(NULL AS {benchmark.schema[item_col].dataType.simpleString()}) item_id", "0L matched", "0L windows", "false reparameterised", "true contaminated"
+        return docs.select(F.col(id_col).alias("doc_id")).limit(0).selectExpr("doc_id", *none)
     few = keys.count() <= BROADCAST_WINDOWS
 
-    tokens = docs.select(F.col(id_col).alias("doc_id"), template_tokens(F.col(text_col)).alias("tokens"))
-    tokens = tokens.withColumn("hashes", _hashed(F.col("tokens"))).withColumn("marks", _marks(F.col("tokens")))
-    all_windows = F.concat(*[F.transform(_windows(F.col("tokens"), F.col("hashes"), F.col("marks"), s, literals), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for s in sizes])
-    seen = tokens.select("doc_id", "tokens", F.explode(all_windows).alias("w"))
-    met = seen.join(F.broadcast(keys) if few else keys, F.col("w.hash") == F.col("hash"))
-    met = met.withColumn("values", F.slice("tokens", F.col("w.at") + 1, F.size("item_values")))
-    pairs = F.filter(F.arrays_zip(F.col("item_values").alias("was"), F.col("values").alias("is")), lambda p: F.ascii(p["was"]) <= 3)
-    met = met.select("doc_id", "item_id", "windows", "counts", "item_at", (F.col("w.at") - F.col("item_at")).alias("shift"), pairs.alias("slots"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), template_tokens(F.col(text_col)).alias("tokens"))
+    seen = _windows(texts, sizes, literals)
+    values = F.slice("tokens", F.col("at") + 1, F.col("size")).alias("values")
+    if few:
+        met = seen.join(F.broadcast(keys), "hash").select("*", values)
+    else:
+        met = seen.select(*row, "at", "hash", values).join(keys, "hash")
+    pairs = F.filter(F.arrays_zip(F.col("item_values").alias("was"), F.col("values").alias("is")), lambda p: _is_slot(p["was"]))
+    met = met.select(*row, "item_id", "windows", "counts", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("slots"))
     same = F.forall("slots", lambda p: p["was"] == p["is"])
-    placed = met.groupBy("doc_id", "item_id", "windows", "shift").agg(
+    placed = met.groupBy(*row, "item_id", "windows", "shift").agg(
         F.collect_set(F.when(F.col("counts"), F.col("item_at"))).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
         F.array_sort(F.collect_set(F.when(same, F.col("item_at")))).alias("exact"), F.collect_set(F.when(same & F.col("counts"), F.col("item_at"))).alias("exact_found"),
     )
@@ -141,11 +156,14 @@ def contaminated(
     placed = placed.withColumn("fits", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["was"])))).withColumn("quoted", quoted).filter("fits OR quoted")
     other = F.col("fits") & F.exists("slots", lambda p: p["was"] != p["is"])
     found = F.when(F.col("fits"), F.col("found")).otherwise(F.col("exact_found"))
-    held = placed.groupBy("doc_id", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list(found)))).cast("long").alias("matched"), F.bool_or(other).alias("reparameterised"), F.bool_or("quoted").alias("quoted"))
+    held = placed.groupBy(*row, "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list(found)))).cast("long").alias("matched"), F.bool_or(other).alias("reparameterised"), F.bool_or("quoted").alias("quoted"))
     return held.filter(F.col("quoted") | (F.col("matched") >= F.lit(cover) * F.col("windows"))).withColumn("contaminated", F.lit(True)).select(*out)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kinds) -> DataFrame:
-    """docs without those that hold a benchmark item; every other column as it was."""
-    gone = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **kinds).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without the rows that hold a benchmark item; every other column as it was, whatever its name.
+
+    A row goes by its own text, also where others share its id or none has one.
+    """
+    gone = _held(docs, benchmark, id_col=id_col, text_col=text_col, **kinds).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text_hash")).distinct()
+    return without(docs, gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__text_hash")))
