@@ -14,6 +14,8 @@ _MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint
 #: The multipliers of the 64-bit finalizer of splitmix, and an odd base for windows.
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix's finalizer: a bijection of 64 bits in which every bit decides every other."""
@@ -61,15 +63,17 @@ class Words:
             at, left = at[more] + 8, left[more] - 8
         return h
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, size: int, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First words, and hashes, of all windows of `size` words of one text each.
 
-        Rabin and Karp's rolling hash from prefix sums of word hash times a power of the base, modulo 2^64.
+        Rabin and Karp's rolling hash from prefix sums of word hash times a power of the base, modulo 2^64. `other`
+        gives a second one over remixed word hashes, which tells nothing of the first.
         """
+        hashes = mix(self.hashes ^ _OTHER) if other else self.hashes
         per_text = np.maximum(np.diff(self.bounds) - size + 1, 0)
         at = np.repeat(self.bounds[:-1], per_text) + _within(per_text)
         powers, inverse = _powers(len(self.hashes) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers[: len(self.hashes)], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[: len(hashes)], dtype=np.uint64)])
         return at, mix((sums[at + size] - sums[at]) * inverse[at])
 
 

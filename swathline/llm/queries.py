@@ -121,17 +121,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def _canonical_sql(text: str) -> str:
-    x = f"regexp_replace(coalesce({text}, ''), '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
-    x = f"regexp_replace(regexp_replace(lower({x}), '{license_scan.VERSION}', 'version \\1', 'g'), '{license_scan.MARKS}', ' ', 'g')"
+    x = f"regexp_replace(coalesce({text}, ''), '{license_scan.NOTICE}', ' \\1', 'g')"
+    x = f"regexp_replace({x}, '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace(lower({x}), '{license_scan.VERSION}', '\\1version \\2', 'g'), '{license_scan.MARKS}', '  ', 'g')"
     x = f"' ' || trim({x}) || ' '"
     for old, new in license_scan.SPELLINGS:
         x = f"replace({x}, ' {old} ', ' {new} ')"
-    return f"trim({x})"
+    return f"trim(replace({x}, '  ', ' '))"
 
 
 _KNOWN = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in license_scan.NOTICES)
+_LISTED = ", ".join(f"('{name}', '{digest}')" for name, digest in license_scan.DIGESTS)
 _LICENSES = f"""
-WITH known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM (VALUES {_KNOWN}) t(license, text) GROUP BY 1),
+WITH texts AS (SELECT sha256({_canonical_sql("text")}) AS digest, license FROM (VALUES {_KNOWN}) t(license, text) UNION ALL SELECT digest, license FROM (VALUES {_LISTED}) d(license, digest)),
+known AS (SELECT digest, min(license) AS license FROM texts GROUP BY 1),
 rows AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS canonical_sha256 FROM documents)
 SELECT doc_id, canonical_sha256, license FROM rows LEFT JOIN known ON canonical_sha256 = digest
 """

@@ -5,6 +5,10 @@ order, some 7 bytes each, and whether it has one several times; a bucket says ba
 occur again anywhere; the block then works its hashes out once more and reads the bits in the same order. No
 window carries a position, no key meets more than one entry a block however often it occurs, and a
 block or bucket that is lost with its executor is worked out again from its documents alone.
+
+Equality is 64 bits of one rolling hash and the bucket, which comes from a second one: 64 + log2(buckets) bits, so with
+the input grow the bits. Every block has a message for every bucket; larger blocks (block_bytes) keep that
+grid small for very large inputs.
 """
 
 from __future__ import annotations
@@ -16,15 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._hashing import Words, mix
-
-_SALT = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each hash, from bits that the order of the hashes doesn't tell."""
-    return (mix(hashes ^ _SALT) % np.uint64(buckets)).astype(np.int64)
-
+from ._hashing import Words
 
 class _Block:
     """The windows of a block of documents, as distinct hashes in the order of (bucket, hash)."""
@@ -32,8 +28,9 @@ class _Block:
     def __init__(self, texts: pa.Array, size: int, buckets: int):
         self.words = Words(texts)
         self.at, hashes = self.words.windows(size)
-        distinct, self.which, self.times = np.unique(hashes, return_inverse=True, return_counts=True)
-        bucket = _bucket(distinct, buckets)
+        distinct, first, self.which, self.times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        # The bucket comes from a hash of its own: windows are only counted as equal when they agree in both.
+        bucket = (self.words.windows(size, other=True)[1][first] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.distinct, self.times = distinct[order], self.times[order]
         self.place = np.empty(len(order), np.int64)

@@ -70,3 +70,26 @@ def test_language_stage_without_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     lettered = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == lettered
+
+
+def test_language_stage_judges_each_row(spark, tmp_path):
+    """Rows that share an id, or have none, stay or go by their own text; also where nothing was learnt."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a good text", None, "s", 11), (1, "12 34", None, "s", 5), (None, "another text", None, "s", 12), (None, "??", None, "s", 2), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    for lang in (None, "en"):
+        docs = spark.createDataFrame([(i, t, lang, s, n) for i, t, _, s, n in rows], schema)
+        left = corpus_pipeline.language(spark, docs, SF)
+        assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["a good text", "another text"]
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.createDataFrame([(1, "where was the very old bridge over the wide river built by those masons")], "item_id long, text string")
+    item.write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = "many words before it " + item.first()["text"]
+    rows = [(None, leak), (None, "a clean text without an id"), (7, leak), (7, "a clean text with the same id"), (8, "some other text"), (9, "some  other text"), (9, "a text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    clean = {t for _, t in rows if t != leak}
+    assert {r.text for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()} == clean
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.exact(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, left)) == sorted(str(r) for r in rows if r[1] != "some  other text" and r != (None, leak))

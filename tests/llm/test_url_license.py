@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -54,6 +55,50 @@ def test_cascade_is_exact_on_its_universe(spark, n):
     assert {r.id for r in got} == set(range(0, 60000, 60000 // n))
 
 
+COMMON = "/usr/share/common-licenses"
+FOREIGN = ["Данный документ Released under the MIT License. является частью", "本文 Released under the MIT License. 如下", "Est licencié: Licensed under CC BY-NC 4.0. Été", "Our own copyright 2024 Licensed under the MIT License.", "Copyright law of 2024 says so\n" + "x y " * 3 + NOTICES[0][1]]
+
+
+def test_other_scripts_and_prose_are_no_licence(spark):
+    df = spark.createDataFrame(list(enumerate(FOREIGN)), "doc_id long, text string")
+    assert [r.license for r in license_scan.scan_licenses(df).orderBy("doc_id").collect()] == [None] * len(FOREIGN)
+
+
+def test_notices_in_their_usual_forms(spark):
+    mit = NOTICES[0][1]
+    flat = "Copyright (c) 2019-2021 Jane Doe and others. " + " ".join(mit.split())
+    heads = ["Copyright (c) <year> <copyright holders>\n", "Copyright [yyyy] [name of copyright owner]\n", "# Copyright © 2020, A. B.\n", "(c) 1999 X\nAll rights reserved.\n"]
+    rows = [flat, *[h + mit for h in heads], "Copyright 2020 X. Licensed under the MIT License.", "licence licence licensed under the MIT licence"]
+    got = [r.license for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["MIT"] * 6 + [None]
+    canon = spark.createDataFrame([("licence licence LICENCE",)], "t string").select(license_scan.canonical(F.col("t"))).first()[0]
+    assert canon == "license license license"
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence files")
+def test_whole_licence_documents_are_found(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    text = {f: open(f"{COMMON}/{f}").read() for f in names}
+    rows = [(n, t) for f, n in names.items() for t in (text[f], text[f].upper(), " ".join(text[f].replace(",", " ; ").split(" ")))] + [(None, t + " more") for t in text.values()] + [("MIT", n) for i, n in NOTICES if i == "MIT"]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = [r.license for r in license_scan.scan_licenses(df).orderBy("doc_id").collect()]
+    assert got == [n for n, _ in rows]
+
+
+def test_sql_of_the_scan_on_odd_texts(spark):
+    """The comparison's SQL gives the same digests and licences where there are some to find."""
+    import duckdb
+    import pandas as pd
+
+    from swathline.llm import queries
+
+    texts = [t for _, t in NOTICES] + FOREIGN + ["", None, "Ünder LICENCE v2, v3 ver 4", "Copyright (c) 2019 A\r\nx", "a\tb\u00a0c"]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    want = duckdb.connect().register("documents", docs).sql(queries.oracle_sql()["op6_license_scan"]).fetchall()
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "canonical_sha256", "license").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r.license is not None for r in got) == len(NOTICES)
+
+
 def test_licenses(spark):
     mit = NOTICES[0][1]
     rows = [(1, mit), (2, "Copyright (c) 2019 Somebody\n\n" + mit.upper().replace("SUBLICENSE", "sub" + "licence")), (3, "MIT LICENCE\nCopyright 1999-2020 A B, all rights reserved\n" + mit.replace(",", " ;")), (4, mit + " extra"), (5, None), (6, ""), (7, "licensed under the apache licence, v2.0"), (8, "Copyright 2020 me"), (None, "Licensed under CC BY-NC 4.0."), (9, "word " * 9000), (1, mit)]
