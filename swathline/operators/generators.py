@@ -75,6 +75,20 @@ def rasterize(rings: DataFrame, keys: list[str], size: int) -> DataFrame:
     return spans.select(*keys, "row", F.explode(F.sequence(F.col("s.lo"), F.col("s.hi"))).alias("col")).distinct()
 
 
+def in_tiles(rings: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, tx, ty, ring): each ring, given in pixels, beside every tile of `size` pixels that its box meets, in that tile's own pixels."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    span = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size)))
+    met = rings.select(*keys, "ring", span(xs).alias("tx")).withColumn("ty", span(ys))
+    own = F.transform("ring", lambda p: F.struct((p["x"] - F.col("tx") * size).alias("x"), (p["y"] - F.col("ty") * size).alias("y")))
+    return met.select(*keys, "tx", "ty", own.alias("ring"))
+
+
+def rasterize_tiles(rings: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, tx, ty, row, col): the pixels of rings in every tile that they reach."""
+    return rasterize(in_tiles(rings, keys, size), [*keys, "tx", "ty"], size)
+
+
 def grid_cells(rings: DataFrame, keys: list[str], step: Column | float, least: float = 0.12) -> DataFrame:
     """(keys, row, col, x, y, area) of square cells whose centres or a share of whose area lies in a convex ring.
 

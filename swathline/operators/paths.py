@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import num
-from ..functions.geo import haversine, initial_bearing
+from ..functions.geo import MAP_RADIUS, destination, haversine, initial_bearing, local_xy
 
 
 def steps(path: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -123,3 +123,107 @@ def connector(along: Column, cross: Column, radius: Column | float) -> Column:
     """Metres from one sweep's end to the next one's start: a half turn and what lies between."""
     r = num(radius)
     return math.pi * r + F.hypot(along, F.greatest(F.lit(0.0), cross - 2 * r))
+
+
+def triggers_flat(lines: DataFrame, keys: list[str], spacing: float) -> DataFrame:
+    """Camera positions along straight lines (lng1, lat1, lng2, lat2): the start, every multiple of the spacing on the great circle, the end.
+
+    keys, seq, lng, lat. A line without length has its start alone.
+    """
+    total = haversine(F.col("lng1"), F.col("lat1"), F.col("lng2"), F.col("lat2"))
+    b = lines.withColumns({"__total": total, "__bearing": initial_bearing(F.col("lng1"), F.col("lat1"), F.col("lng2"), F.col("lat2"))})
+    last = (F.ceil(F.col("__total") / spacing)).cast("int")
+    p = b.withColumn("seq", F.explode(F.when(F.col("__total") > 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.lit(0)))))
+    lng, lat = destination(F.col("lng1"), F.col("lat1"), F.col("__bearing"), F.col("seq") * spacing)
+    first, end = F.col("seq") == 0, F.col("seq") == last
+    at = lambda a, mid, z: F.when(first, F.col(a)).when(end, F.col(z)).otherwise(mid)
+    return p.select(*keys, "seq", at("lng1", lng, "lng2").alias("lng"), at("lat1", lat, "lat2").alias("lat"))
+
+
+def triggers_in_fragments(steps_: DataFrame, keys: list[str], order: str, spacing: float) -> DataFrame:
+    """(keys, seq, distance): positions along broken lines: distances run on over gaps, and there are none within them.
+
+    steps_: keys, order, metres, gap (whether the step crosses a gap). Positions are the multiples of the spacing within steps that
+    are no gap, those at a step's start left to the step before.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    s = steps_.withColumn("__end", F.sum("metres").over(w)).withColumn("__start", F.col("__end") - F.col("metres")).filter("NOT gap AND metres > 0")
+    lo, hi = F.floor(F.col("__start") / spacing).cast("long") + 1, F.floor(F.col("__end") / spacing).cast("long")
+    found = s.filter(lo <= hi).withColumn("__k", F.explode(F.sequence(lo, hi)))
+    return found.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("__k")) - 1).alias("seq"), (F.col("__k") * spacing).alias("distance"))
+
+
+def corridor(points: DataFrame, keys: list[str], padding: float = 90.0) -> DataFrame:
+    """(keys, west, south, east, north): the box, in degrees, around a connection's points (seq, lng, lat) and so many metres more."""
+    ref = points.groupBy(*keys).agg(F.min_by(F.struct("lng", "lat"), F.col("seq")).alias("__o"))
+    p = points.join(ref, keys)
+    east, north = local_xy(F.col("lng"), F.col("lat"), F.col("__o.lng"), F.col("__o.lat"))
+    b = p.withColumns({"__e": east, "__n": north}).groupBy(*keys).agg(F.first("__o").alias("o"), *[f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("__e", "__n")])
+    lng = lambda e: F.col("o.lng") + F.degrees(e / (MAP_RADIUS * F.cos(F.radians("o.lat"))))
+    lat = lambda n: F.col("o.lat") + F.degrees(n / MAP_RADIUS)
+    return b.select(*keys, lng(F.col("lo__e") - padding).alias("west"), lat(F.col("lo__n") - padding).alias("south"), lng(F.col("hi__e") + padding).alias("east"), lat(F.col("hi__n") + padding).alias("north"))
+
+
+def mission_summary(areas: DataFrame, connectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Metres and seconds of areas (metres, speed) and of connectors (metres, seconds) of each mission, and in all."""
+    a = areas.groupBy(*keys).agg(F.sum("metres").alias("area_metres"), F.sum(F.when(F.col("speed") > 0, F.col("metres") / F.col("speed")).otherwise(0.0)).alias("area_seconds"))
+    c = connectors.groupBy(*keys).agg(F.sum("metres").alias("connector_metres"), F.sum("seconds").alias("connector_seconds"))
+    both = a.join(c, keys, "left").fillna(0.0, ["connector_metres", "connector_seconds"])
+    return both.withColumns({"metres": F.col("area_metres") + F.col("connector_metres"), "seconds": F.col("area_seconds") + F.col("connector_seconds")})
+
+
+def planned_summary(fragments: DataFrame, keys: list[str], sweep: str) -> DataFrame:
+    """Lines, fragments, gaps, lengths, connectors and turns of planned lines (sweep, part, metres, gap, connector) of each area."""
+    sweeps = fragments.groupBy(*keys, sweep).agg(F.count(F.lit(1)).alias("parts"), F.sum("metres").alias("metres"), F.sum("gap").alias("gap"), F.max("connector").alias("connector"))
+    n = F.count(F.lit(1))
+    flown = F.sum(F.col("metres") + F.col("gap")) + F.sum("connector")
+    s = sweeps.groupBy(*keys).agg(n.alias("lines"), F.sum(F.col("parts") - 1).alias("fragments"), F.sum("gap").alias("gaps"), F.sum(F.col("metres") + F.col("gap")).alias("length"), flown.alias("path"), F.sum("connector").alias("connectors"), (n - 1).alias("turns"))
+    return s.withColumns({"transit": F.when(F.col("path") > 0, F.col("connectors") / F.col("path")).otherwise(0.0), "broken": F.col("fragments") / F.col("lines")})
+
+
+def transfer_band(segments: DataFrame, keys: list[str], terrain, clearance: float, height: float, spacing: float = 30.0, slack: float = 0.5) -> DataFrame:
+    """(keys, samples, floor, ceiling, below, above, fits) of transfers: the band they must keep to, and how far they leave it.
+
+    segments: keys, x1, y1, z1, x2, y2, z2; terrain(df) gives df with `ground` under x, y, null where unknown: a transfer
+    over such ground doesn't fit. Every segment is sampled at both ends and at most `spacing` metres apart.
+    """
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    n = F.greatest(F.lit(2), F.ceil(length / spacing).cast("int") + 1)
+    s = segments.withColumn("__n", n).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    t = F.col("__k") / (F.col("__n") - 1)
+    s = terrain(s.withColumns({c: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * t for c in "xyz"}))
+    lo, hi = F.col("ground") + clearance - slack, F.col("ground") + height + slack
+    b = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.max(lo).alias("floor"), F.min(hi).alias("ceiling"), F.greatest(F.lit(0.0), F.max(lo - F.col("z"))).alias("below"), F.greatest(F.lit(0.0), F.max(F.col("z") - hi)).alias("above"), F.bool_and(F.col("ground").isNotNull()).alias("__known"))
+    return b.withColumn("fits", F.col("__known") & (F.col("below") <= slack) & (F.col("above") <= slack)).drop("__known")
+
+
+def adaptive(segments: DataFrame, keys: list[str], ground, target: float, tolerance: float, depth: int) -> DataFrame:
+    """(keys, distance, z, terrain): samples of segments (from, to, z_from, z_to: metres along, and heights), halved where it matters.
+
+    A part is halved while it is longer than the target, or the terrain or the clearance in its middle is off the line between its
+    ends by over the tolerance; never beyond `depth` halvings, nor where it is at most half the target long. ground(distance)
+    is the terrain as an expression. Parts of one depth are halved together: one projection a depth, no shuffle.
+    """
+    at = lambda p: ground(F.col(p))
+    parts = segments.select(*keys, F.col("from").alias("a"), F.col("to").alias("b"), F.col("z_from").alias("za"), F.col("z_to").alias("zb"))
+    parts = parts.withColumns({"ga": at("a"), "gb": at("b")})
+    for _ in range(depth):
+        mid = parts.withColumns({"m": (F.col("a") + F.col("b")) / 2, "zm": (F.col("za") + F.col("zb")) / 2}).withColumn("gm", at("m"))
+        span = F.col("b") - F.col("a")
+        off = F.abs(F.col("gm") - (F.col("ga") + F.col("gb")) / 2)
+        # The path is straight within a part, so the clearance is off by as much as the terrain.
+        split = (span > target / 2) & ((span > target) | (off > tolerance))
+        half = lambda p, q: F.struct(*[F.col(f"{n}{p}" if n else p).alias(f"{n}a" if n else "a") for n in ("", "z", "g")], *[F.col(f"{n}{q}" if n else q).alias(f"{n}b" if n else "b") for n in ("", "z", "g")])
+        parts = mid.select(*keys, F.explode(F.when(split, F.array(half("a", "m"), half("m", "b"))).otherwise(F.array(half("a", "b")))).alias("h")).select(*keys, "h.*")
+    first = parts.select(*keys, F.col("a").alias("distance"), F.col("za").alias("z"), F.col("ga").alias("terrain"))
+    return first.unionByName(parts.select(*keys, F.col("b").alias("distance"), F.col("zb").alias("z"), F.col("gb").alias("terrain"))).dropDuplicates([*keys, "distance"])
+
+
+def merged_crossings(xs: Column, eps: float = 1e-6) -> Column:
+    """A sorted array of crossings with those within eps of the one before as one, at their running mean."""
+    def step(found: Column, x: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        joined = F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array((last + x) / 2))
+        return F.when((F.size(found) > 0) & (F.abs(x - F.try_element_at(found, F.lit(-1))) <= eps), joined).otherwise(F.concat(found, F.array(x)))
+
+    return F.aggregate(xs, F.slice(xs, 1, 0), step)

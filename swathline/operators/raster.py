@@ -90,6 +90,125 @@ def halo(tiles: DataFrame, zoom: int, pad: int) -> DataFrame:
     return want.join(given, ["nx", "ny"])
 
 
-def overlay(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFrame:
-    """The base raster with the values of another where that has one."""
-    return base.join(over.select(*keys, F.col("z").alias("__z")), keys, "left").withColumn("z", F.coalesce("__z", "z")).drop("__z")
+def valid(z: Column, nodata: Column | float | None = None, alpha: Column | None = None) -> Column:
+    """Whether a sample is a height: finite, not the file's no-data value, and not masked by an alpha of nothing."""
+    good = z.isNotNull() & ~F.isnan(z) & (F.abs(z) < float("inf"))
+    if nodata is not None:
+        missing = num(nodata)
+        good = good & ~F.coalesce(F.abs(z - missing) <= 1e-8 + 1e-5 * F.abs(missing), F.lit(False))
+    return good if alpha is None else good & ~F.isnan(alpha) & (F.coalesce(alpha, F.lit(1.0)) > 0)
+
+
+def overlay(base: DataFrame, over: DataFrame, keys: list[str], nodata: float | None = None, alpha: str | None = None) -> DataFrame:
+    """The base raster with the values of another where that has a valid one."""
+    good = valid(F.col("z"), nodata, F.col(alpha) if alpha else None)
+    return base.join(over.filter(good).select(*keys, F.col("z").alias("__z")), keys, "left").withColumn("z", F.coalesce("__z", "z")).drop("__z")
+
+
+def overlay_coded(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFrame:
+    """A base raster of coded colours (r, g, b, a) with another's heights, coded too and opaque, where they are valid."""
+    from ..functions.terrain import encode
+
+    joined = base.join(over.filter(valid(F.col("z"))).select(*keys, F.col("z").alias("__z")), keys, "left")
+    coded = [*encode(F.col("__z")), F.lit(255)]
+    return joined.withColumns({c: F.when(F.col("__z").isNotNull(), v).otherwise(F.col(c)).cast("int") for c, v in zip("rgba", coded, strict=True)}).drop("__z")
+
+
+def reproject(target: DataFrame, source: DataFrame, keys: list[str], col: Column, row: Column, width: int, height: int, scale: float = 1.0) -> DataFrame:
+    """target with z of a source raster (keys, row, col, z, valid) at fractional (col, row): only where all four around are valid.
+
+    Places outside the samples' centres, and next to one that isn't valid, have no value.
+    """
+    inside = (col >= 0) & (row >= 0) & (col <= max(width - 1, 0)) & (row <= max(height - 1, 0))
+    c0, r0 = F.floor(col), F.floor(row)
+    out = target.withColumns({"__in": inside, "__c0": c0, "__r0": r0, "__c1": F.least(c0 + 1, F.lit(width - 1)), "__r1": F.least(r0 + 1, F.lit(height - 1)), "__fc": col - c0, "__fr": row - r0})
+    good = source.filter(F.col("valid") & valid(F.col("z")))
+    for k, (r, c) in enumerate((("__r0", "__c0"), ("__r0", "__c1"), ("__r1", "__c0"), ("__r1", "__c1"))):
+        out = out.join(good.select(*keys, F.col("row").alias(r), F.col("col").alias(c), F.col("z").alias(f"__z{k}")), [*keys, r, c], "left")
+    z = [F.col(f"__z{k}") for k in range(4)]
+    top, low = z[0] + (z[1] - z[0]) * F.col("__fc"), z[2] + (z[3] - z[2]) * F.col("__fc")
+    return out.select(*target.columns, F.when(F.col("__in"), (top + (low - top) * F.col("__fr")) * scale).alias("z"))
+
+
+def level_for(cols: Column, rows: Column, size: int, levels: int) -> Column:
+    """The level of a pyramid to sample where a tile of `size` spans so many columns and rows of the raster."""
+    over = F.greatest(cols / max(size, 1), rows / max(size, 1), F.lit(1.0))
+    return F.least(F.lit(levels - 1), F.floor(F.log2(over))).cast("int")
+
+
+def sample_tiles(points: DataFrame, tiles: DataFrame, zoom: int, size: int, nearest: bool = False) -> DataFrame:
+    """points (x, y in metres) with the height of the map tile that holds them: bilinear between samples, or that of the pixel.
+
+    tiles: tx, ty, row, col, z. Bilinear places run from the first sample to the last over the whole tile. A point
+    without a tile has none.
+    """
+    from ..functions.geo import WORLD
+
+    side = WORLD / (1 << zoom)
+    fx, fy = (F.col("x") + WORLD / 2) / side, (WORLD / 2 - F.col("y")) / side
+    placed = points.withColumns({"tx": F.floor(fx), "ty": F.floor(fy), "__px": (fx - F.floor(fx)) * (size - (0 if nearest else 1)), "__py": (fy - F.floor(fy)) * (size - (0 if nearest else 1))})
+    if nearest:
+        at = placed.withColumns({"row": F.floor("__py"), "col": F.floor("__px")})
+        return at.join(tiles.select("tx", "ty", "row", "col", "z"), ["tx", "ty", "row", "col"], "left").select(*points.columns, "z")
+    return sample_bilinear(placed, tiles, ["tx", "ty"], F.col("__px"), F.col("__py"), size).select(*points.columns, "z")
+
+
+def horn(raster: DataFrame, keys: list[str], pixel: Column | float) -> DataFrame:
+    """(keys, row, col, gx, gy) by Horn's kernel where all nine heights are known; rows count southwards, gy points north."""
+    near = _around(raster.select(*keys, "row", "col", "z"), keys, lambda r, c: 1)
+    # (dr, dc) leads from the neighbour to the cell, so the neighbour lies the other way.
+    wx, wy = -F.col("dc") * (2 - F.abs(F.col("dr"))), F.col("dr") * (2 - F.abs(F.col("dc")))
+    sums = near.filter("of_z IS NOT NULL").groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("of_z") * wx) / (8 * num(pixel))).alias("gx"), (F.sum(F.col("of_z") * wy) / (8 * num(pixel))).alias("gy"))
+    return sums.filter("n = 9").drop("n")
+
+
+def contour_direction(raster: DataFrame, keys: list[str], group: list[str], pixel: Column | float, least: int = 10) -> DataFrame:
+    """(group, samples, contour, dispersion): the mean direction of contours of a group's steep pixels; null under `least` of them."""
+    from ..functions.angles import circular_dispersion, circular_mean
+
+    g = horn(raster, keys, pixel).filter(F.hypot("gx", "gy") >= 1e-6)
+    theta = F.pmod(F.degrees(F.atan2(-F.col("gy"), F.col("gx"))), F.lit(360.0))
+    f = g.withColumn("__t", theta).groupBy(*group).agg(F.count(F.lit(1)).alias("samples"), circular_mean(F.col("__t"), F.lit(1.0)).alias("contour"), circular_dispersion(F.col("__t")).alias("dispersion"))
+    enough = F.col("samples") >= least
+    return f.select(*group, "samples", F.when(enough, F.col("contour")).alias("contour"), F.when(enough, F.col("dispersion")).alias("dispersion"))
+
+
+def heat_image(raster: DataFrame, value: str, kind: str, low: float, high: float) -> DataFrame:
+    """raster with r, g, b, a: overlap (0 to high), resolution or density (low to high) as colours; what has no value is clear.
+
+    Poor is warm: much overlap is warm too, a fine resolution cool, a dense cloud cool.
+    """
+    from ..functions.terrain import heat_colour
+
+    v = F.col(value)
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    shown = {"overlap": finite & (v != 0), "resolution": finite, "density": finite & (v > 0)}[kind]
+    lo = max(0.0, low)
+    part = (v - lo) / (max(lo + 1e-6, high) - lo)
+    t = {"overlap": v / max(1.0, high), "resolution": part, "density": 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))}[kind]
+    c = heat_colour(t)
+    return raster.withColumns({k: F.when(shown, c[k]).otherwise(0).cast("int") for k in "rgb"} | {"a": F.when(shown, 200).otherwise(0)})
+
+
+def ellipsoid_heights(raster: DataFrame, geoid: DataFrame, lng: Column, lat: Column, step: float) -> DataFrame:
+    """raster with z above the ellipsoid: the geoid's undulation, bilinear in a table (row, col, z) of `step` degrees from (-180, 90), is added.
+
+    The table is an input; where it has no value nothing is added.
+    """
+    cols, rows = int(round(360 / step)), int(round(180 / step)) + 1
+    at = raster.withColumns({"__gc": (lng + 180) / step, "__gr": (90 - lat) / step}).withColumnRenamed("z", "__height")
+    wrapped = geoid.unionByName(geoid.filter(F.col("col") == 0).withColumn("col", F.lit(cols).cast(geoid.schema["col"].dataType)))
+    found = sample_bilinear(at, F.broadcast(wrapped) if cols * rows <= 1 << 20 else wrapped, [], F.col("__gc"), F.col("__gr"), max(cols + 1, rows), name="__u")
+    return found.withColumn("z", F.col("__height") + F.coalesce("__u", F.lit(0.0))).drop("__gc", "__gr", "__u", "__height")
+
+
+def write_pyramid(levels: DataFrame, path: str) -> None:
+    """A pyramid's levels as tables by level, which a reader of one level finds without the others."""
+    levels.write.mode("overwrite").partitionBy("level").parquet(path)
+
+
+def polygon_mask(rings: DataFrame, keys: list[str], group: list[str], size: int, erosion: int = 0) -> DataFrame:
+    """(group, row, col): the union of the eroded masks of a group's rings, given in pixels."""
+    from .generators import rasterize
+
+    return erode(rasterize(rings, keys, size), keys, size, erosion).select(*group, "row", "col").distinct()

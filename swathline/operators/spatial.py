@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,42 +62,62 @@ def clip_to_box(x1: Column, y1: Column, x2: Column, y2: Column, box: tuple[float
     return F.when(~missed & (lo <= hi), lo), F.when(~missed & (lo <= hi), hi)
 
 
-def visible(pixels: DataFrame, poses: DataFrame, size: float, camera: tuple[float, float, float, int, int] = (0.035, 4.88e-6, 4.88e-6, 7952, 5304)) -> DataFrame:
-    """Resolution and overlap of ground pixels (pixel, x, y, z, nx, ny, nz) under camera poses (pose, x, y, z, r11 ... r33).
+def views(pixels: DataFrame, poses: DataFrame, cameras: DataFrame, size: float) -> DataFrame:
+    """(pixel, pose, gsd): which ground pixels (pixel, x, y, z, nx, ny, nz) which camera poses see, and how finely.
 
-    A pose reaches as far as half its image's diagonal on the ground and a quarter more; it is put into every grid
-    cell in reach, pixels into theirs. Pairs that pass the frustum and face the camera count; per pixel the least
-    resolution by the exact Jacobian of the image on the local plane, and the number of poses.
+    poses: pose, camera, x, y, z, ground, r11 ... r33; cameras: seq, f_m, sx_m, sy_m, w_px, h_px, a registry. A camera's number
+    that is none counts as the first. A pose reaches as far as half its image's diagonal on the ground and a quarter more; it
+    is put into every grid cell in reach, pixels into theirs. Pairs that pass the frustum and face the camera stay; the
+    resolution is that of the exact Jacobian of the image on the local plane, in the camera's own frame.
     """
-    f, sx, sy, w, h = camera
-    half = math.tan(math.atan(0.5 * math.hypot(w * sx, h * sy) / f)) * 1.25
-    reach = F.greatest(F.lit(1.0), F.col("p_z") - F.col("ground")) * half
-    p = poses.select("pose", *[F.col(c).alias(f"p_{c}") for c in ("x", "y", "z")], "ground", *[f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]).withColumn("reach", reach)
+    registry = F.broadcast(cameras.select(F.col("seq").alias("__camera"), "f_m", "sx_m", "sy_m", "w_px", "h_px"))
+    known = cameras.count()
+    p = poses.withColumn("__camera", F.when(F.col("camera").between(0, known - 1), F.col("camera")).otherwise(0).cast("int")).join(registry, "__camera")
+    half = F.hypot(F.col("w_px") * F.col("sx_m"), F.col("h_px") * F.col("sy_m")) / 2 / F.col("f_m") * 1.25
+    p = p.select("pose", *[F.col(c).alias(f"p_{c}") for c in ("x", "y", "z")], *[f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)], "f_m", "sx_m", "sy_m", "w_px", "h_px", (F.greatest(F.lit(1.0), F.col("z") - F.col("ground")) * half).alias("reach"))
     p = p.withColumn("__cx", _cells(F.col("p_x") - F.col("reach"), F.col("p_x") + F.col("reach"), size)).withColumn("__cy", _cells(F.col("p_y") - F.col("reach"), F.col("p_y") + F.col("reach"), size))
-    g = pixels.withColumns({"__cx": F.floor(F.col("x") / size), "__cy": F.floor(F.col("y") / size)})
+    g = pixels.select("pixel", "x", "y", "z", "nx", "ny", "nz", F.floor(F.col("x") / size).alias("__cx"), F.floor(F.col("y") / size).alias("__cy"))
     d = {c: F.col(c) - F.col(f"p_{c}") for c in ("x", "y", "z")}
-    both = g.join(p, ["__cx", "__cy"]).filter(d["x"] * d["x"] + d["y"] * d["y"] <= F.col("reach") * F.col("reach"))
-    cam = [sum((F.col(f"r{i}{j}") * d[c] for i, c in ((1, "x"), (2, "y"), (3, "z"))), F.lit(0.0)) for j in (1, 2, 3)]
-    both = both.withColumns({"cx": cam[0], "cy": cam[1], "cz": cam[2], "away": -(F.col("nx") * d["x"] + F.col("ny") * d["y"] + F.col("nz") * d["z"])})
-    both = both.filter((F.col("cz") < -1e-9))
-    u, v = w / 2 + f * F.col("cx") / -F.col("cz") / sx, h / 2 + f * F.col("cy") / -F.col("cz") / sy
-    span = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
-    both = both.filter((u >= 0) & (u < w) & (v >= 0) & (v < h) & (F.col("away") / span > 1e-3))
-    # Steps as columns of their own, so that each is worked out once and the generated code stays small.
-    both = both.withColumns({"um": f * F.col("cx") / F.col("cz"), "vm": f * F.col("cy") / F.col("cz")})
-    both = both.withColumns({f"a{i}": F.col(f"r{i}1") * F.col("um") + F.col(f"r{i}2") * F.col("vm") + F.col(f"r{i}3") * f for i in (1, 2, 3)})
-    n = {1: F.col("nx"), 2: F.col("ny"), 3: F.col("nz")}
-    dots = {"dot": sum((n[i] * F.col(f"a{i}") for i in n), F.lit(0.0))} | {f"nb{k}": sum((n[i] * F.col(f"r{i}{k}") for i in n), F.lit(0.0)) for k in (1, 2)}
-    both = both.withColumns(dots)
-    dot = F.col("dot")
-
-    def stretch(axis: int) -> Column:
-        parts = [dot * F.col(f"r{i}{axis}") - F.col(f"nb{axis}") * F.col(f"a{i}") for i in n]
-        return F.sqrt(sum((q * q for q in parts), F.lit(0.0))) * F.abs(F.col("away")) / (dot * dot)
-
-    both = both.withColumns({"__su": stretch(1), "__sv": stretch(2)})
-    gsd = F.when(F.abs(dot) >= 1e-12, F.sqrt(F.col("__su") * sx * F.col("__sv") * sy))
-    return both.withColumn("gsd", gsd).filter("gsd IS NOT NULL").groupBy("pixel").agg(F.count(F.lit(1)).alias("overlap"), F.min("gsd").alias("gsd"))
+    near = g.join(p, ["__cx", "__cy"]).filter(d["x"] * d["x"] + d["y"] * d["y"] <= F.col("reach") * F.col("reach"))
+    # The ray and the normal in the camera's frame; each stage names the one before once, so the code stays small.
+    turned = lambda v, j: F.col(f"r1{j}") * v[0] + F.col(f"r2{j}") * v[1] + F.col(f"r3{j}") * v[2]
+    ray, normal = (d["x"], d["y"], d["z"]), (F.col("nx"), F.col("ny"), F.col("nz"))
+    own = F.struct(*[turned(ray, j).alias(f"c{j}") for j in (1, 2, 3)], *[turned(normal, j).alias(f"n{j}") for j in (1, 2, 3)])
+    near = near.select("pixel", "pose", "f_m", "sx_m", "sy_m", "w_px", "h_px", F.explode(F.array(own)).alias("o")).select("pixel", "pose", "f_m", "sx_m", "sy_m", "w_px", "h_px", "o.*").filter("c3 < -1e-9")
+    u, v = F.col("f_m") * F.col("c1") / F.col("c3"), F.col("f_m") * F.col("c2") / F.col("c3")
+    seen = near.select("*", F.explode(F.array(F.struct(u.alias("u"), v.alias("v"), (-(F.col("n1") * F.col("c1") + F.col("n2") * F.col("c2") + F.col("n3") * F.col("c3"))).alias("away")))).alias("i")).select("*", "i.*").drop("i")
+    col, row = F.col("w_px") / 2 - F.col("u") / F.col("sx_m"), F.col("h_px") / 2 - F.col("v") / F.col("sy_m")
+    seen = seen.filter((col >= 0) & (col < F.col("w_px")) & (row >= 0) & (row < F.col("h_px")) & (F.col("away") > 1e-3 * F.sqrt(F.col("c1") * F.col("c1") + F.col("c2") * F.col("c2") + F.col("c3") * F.col("c3"))))
+    dot = F.col("n1") * F.col("u") + F.col("n2") * F.col("v") + F.col("n3") * F.col("f_m")
+    square = F.col("u") * F.col("u") + F.col("v") * F.col("v") + F.col("f_m") * F.col("f_m")
+    seen = seen.withColumns({"dot": dot, "square": square}).filter(F.abs("dot") >= 1e-12)
+    stretch = lambda n, a: F.sqrt(F.greatest(F.lit(0.0), F.col("dot") * F.col("dot") - 2 * F.col("dot") * F.col(n) * F.col(a) + F.col(n) * F.col(n) * F.col("square"))) * F.abs("away") / (F.col("dot") * F.col("dot"))
+    return seen.select("pixel", "pose", F.sqrt(stretch("n1", "u") * F.col("sx_m") * stretch("n2", "v") * F.col("sy_m")).alias("gsd"))
+
+
+def visible(pixels: DataFrame, poses: DataFrame, cameras: DataFrame, size: float) -> DataFrame:
+    """(pixel, overlap, gsd): the number of poses that see a pixel, and the finest resolution of them."""
+    return views(pixels, poses, cameras, size).groupBy("pixel").agg(F.count(F.lit(1)).alias("overlap"), F.min("gsd").alias("gsd"))
+
+
+def hit_ids(seen: DataFrame, owners: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, poses, mark): how many different poses see any pixel of an owner (pixel, keys), and a digest of which."""
+    own = seen.select("pixel", "pose").join(owners.select("pixel", *keys), "pixel").select(*keys, "pose").distinct()
+    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias("poses"), F.sum(F.col("pose").cast("decimal(38,0)") * (F.col("pose") % 1009 + 1)).cast("long").alias("mark"))
+
+
+def candidates(tiles: DataFrame, poses: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """(keys, poses, all): how many poses (pose, x, y, reach) reach each tile's box (x0, y0, x1, y1); where none does, all count.
+
+    Tiles and reaches meet in grid cells; the count of all poses is one number.
+    """
+    t = tiles.select(*keys, "x0", "y0", "x1", "y1").withColumn("__cx", _cells(F.col("x0"), F.col("x1"), size)).withColumn("__cy", _cells(F.col("y0"), F.col("y1"), size))
+    p = poses.select("pose", "x", "y", "reach").withColumn("__cx", _cells(F.col("x") - F.col("reach"), F.col("x") + F.col("reach"), size)).withColumn("__cy", _cells(F.col("y") - F.col("reach"), F.col("y") + F.col("reach"), size))
+    off = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
+    dx, dy = off("x", "x0", "x1"), off("y", "y0", "y1")
+    near = t.join(p, ["__cx", "__cy"]).filter(dx * dx + dy * dy <= F.col("reach") * F.col("reach")).select(*keys, "pose").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    whole = poses.agg(F.count(F.lit(1)).alias("__all"))
+    return tiles.select(*keys).join(near, keys, "left").join(F.broadcast(whole)).select(*keys, F.coalesce("__n", "__all").alias("poses"), F.col("__n").isNull().alias("all"))
 
 
 def at_least(pixels: DataFrame, overlap: int) -> DataFrame:

@@ -63,4 +63,8 @@ SQL = {
 
 def with_tables(sql: str, *names: str) -> str:
     """sql with these tables in front, as common table expressions."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + (", " + sql[5:] if sql.lstrip().upper().startswith("WITH ") else " " + sql)
+    tables, sql = ", ".join(f"{n} AS ({SQL[n]})" for n in names), sql.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(start):
+            return f"{start}{tables}, {sql.removeprefix(start)}"
+    return f"WITH {tables} {sql}"

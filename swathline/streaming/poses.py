@@ -42,3 +42,28 @@ def history(log: DataFrame, keys: list[str], order: list[str], most: int = 50) -
 
     w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
     return log.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
+
+
+def undo_state(log: DataFrame, keys: list[str], order: list[str], most: int = 50) -> DataFrame:
+    """(keys, undo, redo): what can be undone and redone after a log (action, id) of push, undo and redo, the last at the end.
+
+    A push forgets what could be redone, and the oldest beyond `most`. A log is folded in order, once, as an array of its steps.
+    """
+    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, "action", "id"))), lambda s: F.struct(s["action"].alias("action"), s["id"].alias("id")))
+    laid = log.groupBy(*keys).agg(steps.alias("steps"))
+    none = F.transform(F.slice("steps", 1, 0), lambda s: s["id"])
+    state = lambda u, r: F.struct(u.alias("undo"), r.alias("redo"))
+    top = lambda x: F.slice(x, F.greatest(F.size(x), F.lit(1)), 1)
+    rest = lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0)))
+
+    def fold(s, step):
+        pushed = F.concat(s["undo"], F.array(step["id"]))
+        pushed = F.slice(pushed, F.greatest(F.size(pushed) - most + 1, F.lit(1)), most)
+        return F.when(step["action"] == "push", state(pushed, F.slice(s["redo"], 1, 0))).when(step["action"] == "undo", state(rest(s["undo"]), F.concat(s["redo"], top(s["undo"])))).otherwise(state(F.concat(s["undo"], top(s["redo"])), rest(s["redo"])))
+
+    return laid.select(*keys, F.aggregate("steps", state(none, none), fold).alias("s")).select(*keys, "s.undo", "s.redo")
+
+
+def affected(transactions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id): every polygon that a transaction had before or has after (arrays of ids), once."""
+    return transactions.select(*keys, F.explode(F.array_union("before", "after")).alias("id"))
