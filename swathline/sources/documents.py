@@ -94,6 +94,108 @@ def match_camera(spark: SparkSession, names: DataFrame, name: str = "name") -> D
     return names.join(found, name, "left")
 
 
+#: The lidar's key and its names in files.
+LIDARS = [("WINGTRA_LIDAR_XT32M2X", ["LIDAR", "LIDAR_v5", "Wingtra Lidar", "Hesai XT32M2X", "WINGTRA_LIDAR_XT32M2X"])]
+SENSORS = "struct<sensors: array<struct<name: string, internals: struct<focal_length_px: double, principal_point_px: array<double>>, image_size_px: array<int>, pixel_size_um: double>>>"
+TRAJECTORY = ("GPSTime", "Easting", "Northing", "Height")
+
+
+def _unversioned(name: Column) -> Column:
+    """Letters and digits of a name in lower case, without a version number at its end."""
+    return F.regexp_replace(_plain(name), "v[0-9]+$", "")
+
+
+def resolve_payload(spark: SparkSession, payloads: DataFrame, name: str = "name", key: str = "key") -> DataFrame:
+    """payloads with `lidar` and `camera`: the sensor that a plan's payload names.
+
+    A sensor is known by its exact name, else by a plain one that equals the payload's, holds it or stands in it, with or without a
+    version number at the end; the name counts before the key, the registry's order among equals. Without a match there is no
+    lidar, and the camera is the registry's first. The registries are a few dozen names.
+    """
+    known = lambda rows, n: spark.createDataFrame([(i, k, x) for i, (k, xs) in enumerate(rows) for x in dict.fromkeys([k, *xs])], f"__seq int, {n} string, __n string")
+    from ..functions.sensors import CAMERAS
+
+    cameras_, lidars = known([(c[0], c[-1]) for c in CAMERAS], "camera"), known(LIDARS, "lidar")
+    distinct = payloads.select(name, key).distinct()
+    given = distinct.select(name, key, F.posexplode(F.array(F.col(name), F.col(key))).alias("__place", "__c")).filter("__c IS NOT NULL AND __c <> ''")
+    a, b, p, q = _unversioned(F.col("__c")), _unversioned(F.col("__n")), _plain(F.col("__c")), _plain(F.col("__n"))
+    either = lambda x, y: x.contains(y) | y.contains(x)
+    fits = either(p, q) | ((F.length(a) > 0) & (F.length(b) > 0) & either(a, b))
+    rank = F.when(F.col("__c") == F.col("__n"), 0).when(fits, 1)
+    out = distinct
+    for registry, column in ((lidars, "lidar"), (cameras_, "camera")):
+        met = given.crossJoin(F.broadcast(registry)).withColumn("__rank", rank).filter("__rank IS NOT NULL")
+        best = met.groupBy(F.col(name).alias("__name"), F.col(key).alias("__key")).agg(F.min_by(column, F.struct("__rank", "__place", "__seq")).alias(column))
+        out = out.join(best, F.col(name).eqNullSafe(F.col("__name")) & F.col(key).eqNullSafe(F.col("__key")), "left").drop("__name", "__key")
+    out = out.withColumn("camera", F.coalesce("camera", F.lit(CAMERAS[0][0])))
+    own = out.select(F.col(name).alias("__name"), F.col(key).alias("__key"), "lidar", "camera")
+    return payloads.join(own, F.col(name).eqNullSafe(F.col("__name")) & F.col(key).eqNullSafe(F.col("__key"))).drop("__name", "__key")
+
+
+def read_camera_model(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(keys, f_m, sx_m, sy_m, w_px, h_px, cx_px, cy_px) of the first sensor of each file that has a focal length, a size and a pixel."""
+    s = texts.select(*keys, F.posexplode(F.from_json(F.col(text), SENSORS)["sensors"]).alias("i", "s"))
+    s = s.filter((F.col("s.internals.focal_length_px") != 0) & (F.size("s.image_size_px") == 2) & F.col("s.pixel_size_um").isNotNull())
+    first = s.groupBy(*keys).agg(F.min_by("s", "i").alias("s"))
+    pixel, at = F.col("s.pixel_size_um") * 1e-6, lambda c, i: F.get(F.col(c), F.lit(i))
+    w, h = at("s.image_size_px", 0), at("s.image_size_px", 1)
+    centre = lambda i, size: F.coalesce(at("s.internals.principal_point_px", i), size / 2)
+    return first.select(*keys, (F.col("s.internals.focal_length_px") * pixel).alias("f_m"), pixel.alias("sx_m"), pixel.alias("sy_m"), w.alias("w_px"), h.alias("h_px"), centre(0, w).alias("cx_px"), centre(1, h).alias("cy_px"))
+
+
+def read_trajectory(texts: DataFrame, text: str = "text", keys: tuple[str, ...] = ("file",), every: int = 1) -> DataFrame:
+    """(keys, seq, time, x, y, z, speed) of every n-th row of tab-separated trajectories with a head line.
+
+    Rows that aren't numbers are left out before they are counted; speed is that from the row before, null where time stands still.
+    """
+    from pyspark.sql import Window
+
+    lines = texts.select(*keys, F.split(F.col(text), "\\r?\\n").alias("l"))
+    head = F.split(F.get("l", F.lit(0)), "\\t")
+    rows = lines.select(*keys, head.alias("h"), F.posexplode(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("line", "t")).withColumn("c", F.split("t", "\\t"))
+    value = lambda n: F.get("c", F.array_position("h", F.lit(n)).cast("int") - 1).try_cast("double")
+    rows = rows.select(*keys, "line", *[value(n).alias(c) for n, c in zip(TRAJECTORY, ("time", "x", "y", "z"), strict=True)]).filter("time IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    w = Window.partitionBy(*keys).orderBy("line")
+    rows = rows.withColumn("__n", F.row_number().over(w) - 1).filter(F.col("__n") % every == 0).withColumn("seq", (F.col("__n") / every).cast("int"))
+    before = lambda c: F.lag(c).over(w)
+    passed = F.col("time") - before("time")
+    way = F.sqrt(sum(((F.col(c) - before(c)) ** 2 for c in "xyz"), F.lit(0.0)))
+    return rows.withColumn("speed", F.when(passed > 0, way / passed)).select(*keys, "seq", "time", "x", "y", "z", "speed")
+
+
+def replace_areas(plans: DataFrame, areas: DataFrame, keys: list[str], sequenced: bool = False) -> DataFrame:
+    """(keys, place, kind, area): the items of plans with others' areas in their area slots.
+
+    plans: keys, item, kind; areas: keys, seq, area. The first slot takes the first area and so on; slots beyond the areas go, areas
+    beyond the slots follow the last one, or the whole plan where it has none. sequenced: waypoints and loiters go too.
+    """
+    from pyspark.sql import Window
+
+    items = plans.filter(~F.col("kind").isin("waypoint", "loiter")) if sequenced else plans
+    w = Window.partitionBy(*keys)
+    items = items.withColumn("slot", F.when(F.col("kind") == "area", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("item")) - 1))
+    items = items.withColumns({"__slots": F.count("slot").over(w), "__last": F.coalesce(F.max(F.when(F.col("slot").isNotNull(), F.col("item"))).over(w), F.max("item").over(w))})
+    own = areas.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1)
+    kept = items.join(own.select(*keys, F.col("__place").alias("slot"), "area"), [*keys, "slot"], "left").filter("slot IS NULL OR area IS NOT NULL").select(*keys, F.col("item").cast("double").alias("at"), F.lit(0).alias("more"), "kind", "area")
+    ends = items.groupBy(*keys).agg(F.max("__slots").alias("slots"), F.max("__last").cast("double").alias("at"))
+    added = own.join(ends, keys).filter(F.col("__place") >= F.col("slots")).select(*keys, (F.col("at") + 0.5).alias("at"), (F.col("__place") + 1).alias("more"), F.lit("area").alias("kind"), "area")
+    both = kept.unionByName(added)
+    return both.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("at", "more")) - 1).alias("place"), "kind", "area")
+
+
+def sequence_ends(plans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, take_off, landing): the first items of those kinds (kind, item, lng, lat, altitude, radius) with a point, an altitude and a radius over 0."""
+    first = plans.filter(F.col("kind").isin("takeoff", "land")).groupBy(*keys, "kind").agg(F.min_by(F.struct("item", "lng", "lat", "altitude", "radius"), "item").alias("e"))
+    good = first.filter("e.lng IS NOT NULL AND e.lat IS NOT NULL AND e.altitude IS NOT NULL AND e.radius > 0")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("e")))
+    return good.groupBy(*keys).agg(of("takeoff").alias("take_off"), of("land").alias("landing"))
+
+
+def write_artifacts(artifacts: DataFrame, path: str) -> None:
+    """(request_id, name, text): a file of JSON lines for each request and name."""
+    artifacts.write.mode("overwrite").partitionBy("request_id", "name").text(path)
+
+
 # Ordered lists of ids, as arrays.
 
 
