@@ -184,7 +184,8 @@ def _patches(cells: pd.DataFrame, links: pd.DataFrame) -> Patches:
 
 
 def _grouped(cells: DataFrame, keys: list[str], work, fields: str) -> DataFrame:
-    links = edge_costs(cells, keys)
+    # Keys of their own, as both sides of the cogroup come from the same cells.
+    links = edge_costs(cells, keys).select(*[F.col(k).alias(k) for k in keys], "a", "b", "turn", "barrier", "cost")
     own = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:

@@ -152,14 +152,14 @@ def best_order(n: int, cost, start=lambda a, f: 0.0, end=lambda a, f: 0.0, exact
     return total(path), path
 
 
-def boundary(cells: DataFrame, edges: DataFrame, side: str, step: float) -> DataFrame:
-    """Length and weight of the edges between two sides of a split: longer where terrain breaks and turns."""
+def boundary(cells: DataFrame, edges: DataFrame, side: str, step: float, keys: list[str]) -> DataFrame:
+    """(keys, length, weight) of the edges between two sides of each group's split: they weigh more where terrain breaks and turns."""
     c = cells.select("cell", side, "strength", "aspect", "bearing")
     at = lambda k: c.select(*[F.col(x).alias(k if x == "cell" else f"{k}_{x}") for x in c.columns])
     both = edges.join(at("a"), "a").join(at("b"), "b").filter(F.col(f"a_{side}") != F.col(f"b_{side}"))
     turn = F.least(F.abs(F.col("a_aspect") - F.col("b_aspect")), 360 - F.abs(F.col("a_aspect") - F.col("b_aspect")))
     weight = step * (0.55 * (F.col("a_strength") + F.col("b_strength")) / 2 + 0.3 * turn + 0.15 * axial_delta(F.col("a_bearing"), F.col("b_bearing")))
-    return both.agg((F.count(F.lit(1)) * step).alias("length"), F.sum(weight).alias("weight"))
+    return both.groupBy(*keys).agg((F.count(F.lit(1)) * step).alias("length"), F.sum(weight).alias("weight"))
 
 
 def ranked(entries: DataFrame, keys: list[str], name: str, value: str, most: int = 8) -> DataFrame:
