@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -55,22 +54,25 @@ def split_at(cells: DataFrame, keys: list[str], along: str, weight: str, q: floa
     return cells.join(cut, keys).withColumn("left", F.col(along) <= F.col("__cut")).drop("__cut")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, where its lineage ends; without one, on a single machine, it is kept as it is."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return df.cache()
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable; nodes without edges are alone.
 
     Labels jump: each round takes the least label around, and then the label of that label, so rounds grow with
-    the logarithm of a path. A round is written to the folder of spark.checkpoint.dir where there is one.
+    the logarithm of a path. A round is a written table.
     """
-    spark = nodes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-
-    def cut(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df.cache()
-        path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = nodes.select(F.col("node"), F.col("node").alias("component"))
     before = None
@@ -117,41 +119,6 @@ def fine_search(evaluate, start: list[float], steps: tuple[float, ...] = (8.0, 4
     return at, known[at]
 
 
-def best_order(n: int, cost, start=lambda a, f: 0.0, end=lambda a, f: 0.0, exact: int = 12) -> tuple[float, list[tuple[int, int]]]:
-    """The cheapest way through n areas, each flown forward or flipped: (cost, [(area, flip), ...]).
-
-    cost((a, f), (b, g)), start and end are those of the connection table, small enough for the driver. Up to `exact` areas
-    by dynamic programming over sets of areas; more by cheapest insertion, then flips and swaps while they help.
-    """
-    if n == 0:
-        return 0.0, []
-
-    def total(path) -> float:
-        return start(*path[0]) + sum(cost(p, q) for p, q in itertools.pairwise(path)) + end(*path[-1])
-
-    if n <= exact:
-        reach = {(1 << a, (a, f)): (start(a, f), ((a, f),)) for a in range(n) for f in (0, 1)}
-        for size in range(1, n):
-            for (seen, last), (c, path) in [x for x in reach.items() if bin(x[0][0]).count("1") == size]:
-                for b in (b for b in range(n) if not seen >> b & 1):
-                    for g in (0, 1):
-                        key, value = (seen | 1 << b, (b, g)), c + cost(last, (b, g))
-                        if key not in reach or value < reach[key][0] - 1e-9:
-                            reach[key] = value, (*path, (b, g))
-        return min(((c + end(*last), list(path)) for (seen, last), (c, path) in reach.items() if seen == (1 << n) - 1), key=lambda x: x[0])
-    path = [(0, 0)]
-    for a in range(1, n):
-        path = min((path[:k] + [(a, f)] + path[k:] for k in range(len(path) + 1) for f in (0, 1)), key=total)
-    better = True
-    while better:
-        flips = [[*path[:k], (path[k][0], 1 - path[k][1]), *path[k + 1 :]] for k in range(n)]
-        swaps = [[path[j] if x == i else path[i] if x == j else p for x, p in enumerate(path)] for i, j in itertools.combinations(range(n), 2)]
-        to = min(flips + swaps, key=total)
-        better = total(to) < total(path) - 1e-9
-        path = to if better else path
-    return total(path), path
-
-
 def boundary(cells: DataFrame, edges: DataFrame, side: str, step: float, keys: list[str]) -> DataFrame:
     """(keys, length, weight) of the edges between two sides of each group's split: they weigh more where terrain breaks and turns."""
     c = cells.select("cell", side, "strength", "aspect", "bearing")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("scalars", "aggregates", "windows", "joins", "searches", "scores", "documents", "objectives", "routes", "polygons", "files", "partitions")
+THEMES = ("scalars", "aggregates", "windows", "joins", "searches", "scores", "documents", "objectives", "routes", "polygons", "files", "partitions", "flights")
 
 
 def _themes():
