@@ -41,25 +41,38 @@ def _inside(points: np.ndarray, segments: np.ndarray) -> np.ndarray:
     return hit.sum(axis=1) % 2 == 1
 
 
-def _cut(own: np.ndarray, other: np.ndarray, grid: float) -> np.ndarray:
-    """Segments split wherever the other's segments cross, touch or end on them; corners snapped to a grid."""
-    out = []
-    for x1, y1, x2, y2 in own:
-        d, e = np.array([x2 - x1, y2 - y1]), other[:, 2:] - other[:, :2]
-        off = other[:, :2] - [x1, y1]
+def _cut(first: np.ndarray, second: np.ndarray, grid: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both boundaries split wherever they cross, touch or end on each other; a point in common is the same for both, on a grid."""
+    snap = lambda p: np.round(p / grid) * grid
+    sides = snap(first), snap(second)
+    cuts: tuple[list, list] = tuple([[s[:2], s[2:]] for s in side] for side in sides)
+    e, starts = sides[1][:, 2:] - sides[1][:, :2], sides[1][:, :2]
+    for i, (x1, y1, x2, y2) in enumerate(sides[0]):
+        d, off = np.array([x2 - x1, y2 - y1]), starts - [x1, y1]
         det = d[0] * e[:, 1] - d[1] * e[:, 0]
-        length = d @ d
         with np.errstate(divide="ignore", invalid="ignore"):
             t = (off[:, 0] * e[:, 1] - off[:, 1] * e[:, 0]) / det
             u = (off[:, 0] * d[1] - off[:, 1] * d[0]) / det
-        ts = t[(np.abs(det) > 1e-12 * max(1.0, length)) & (t > 0) & (t < 1) & (u >= -1e-9) & (u <= 1 + 1e-9)]
-        ends = np.concatenate([other[:, :2], other[:, 2:]]) - [x1, y1]
-        along, across = ends @ d / length, np.abs(ends[:, 0] * d[1] - ends[:, 1] * d[0]) / math.sqrt(length)
-        ts = np.unique(np.concatenate([[0.0, 1.0], ts, along[(across <= grid) & (along > 0) & (along < 1)]]))
-        p = np.round((np.array([x1, y1]) + ts[:, None] * d) / grid) * grid
-        keep = np.any(p[1:] != p[:-1], axis=1)
-        out.append(np.hstack([p[:-1], p[1:]])[keep])
-    return np.concatenate(out) if out else np.zeros((0, 4))
+        for j in np.flatnonzero((np.abs(det) > 1e-9) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)):
+            at = snap(np.array([x1, y1]) + t[j] * d)
+            cuts[0][i].append(at), cuts[1][j].append(at)
+    for own, other in ((0, 1), (1, 0)):
+        ends = np.unique(sides[other][:, :2], axis=0)
+        for i, (x1, y1, x2, y2) in enumerate(sides[own]):
+            d = np.array([x2 - x1, y2 - y1])
+            length = max(1e-30, float(d @ d))
+            along, across = (ends - [x1, y1]) @ d / length, np.abs((ends[:, 0] - x1) * d[1] - (ends[:, 1] - y1) * d[0]) / math.sqrt(length)
+            cuts[own][i] += list(ends[(across <= grid) & (along > 0) & (along < 1)])
+    out = []
+    for side, found in zip(sides, cuts, strict=True):
+        parts = [np.zeros((0, 4))]
+        for s, points in zip(side, found, strict=True):
+            p = np.array(points)
+            p = p[np.argsort((p - s[:2]) @ (s[2:] - s[:2]), kind="stable")]
+            keep = np.any(np.abs(p[1:] - p[:-1]) > grid / 2, axis=1)
+            parts.append(np.hstack([p[:-1], p[1:]])[keep])
+        out.append(np.concatenate(parts))
+    return out[0], out[1]
 
 
 def _turned(rings: list[Ring]) -> list[Ring]:
@@ -76,7 +89,7 @@ def boolean(a: list[Ring], b: list[Ring], kind: str, grid: float = 1e-6) -> list
     if not a or not b:
         return {"union": a or b, "intersection": [], "difference": a}[kind]
     sa, sb = _segments(a), _segments(b)
-    pa_, pb = _cut(sa, sb, grid), _cut(sb, sa, grid)
+    pa_, pb = _cut(sa, sb, grid)
     key = lambda s: list(map(tuple, np.round(s / grid).astype(np.int64).tolist()))
     ka, kb = key(pa_), key(pb)
     there = set(kb)

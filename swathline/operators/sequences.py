@@ -106,5 +106,8 @@ def sequence(links: DataFrame, ends: DataFrame, keys: list[str], name: str) -> D
             out = {**{k: [ways[k].iloc[0]] * len(path) for k in keys}, "place": range(len(path)), name: [names[s // 2] for s in path], "flip": [s % 2 for s in path], "cost": [total] * len(path)}
         return pd.DataFrame(out)
 
+    # Columns of their own, as both sides may come from the same areas.
+    links = links.select(*[F.col(c).alias(c) for c in links.columns])
+    ends = ends.select(*[F.col(c).alias(c) for c in ends.columns])
     fields = ", ".join(f"`{k}` {ends.schema[k].dataType.simpleString()}" for k in keys)
     return links.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(order, f"{fields}, place int, `{name}` {ends.schema[name].dataType.simpleString()}, flip int, cost double")

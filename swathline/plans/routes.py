@@ -95,7 +95,14 @@ def affected_ids(spark: SparkSession, sf: str) -> DataFrame:
     return live.affected(t, ["transaction"])
 
 
-QUERIES = {f.__name__: f for f in (flat_triggers, fragment_triggers, corridors, mission_summaries, planned_summaries, transfer_bands, adaptive_profile, crossings_merged, mission_orders, undo_states, affected_ids)}
+def profile_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """What every user's profile has last been asked for."""
+    n = F.col("event_id")
+    kind = F.when(n % 10 == 0, "snapshot").when(n % 3 == 0, "detail").otherwise("overview")
+    return live.profile_requests(table(spark, sf, "events").select("user_id", n, kind.alias("kind")), ["user_id"], "event_id")
+
+
+QUERIES = {f.__name__: f for f in (flat_triggers, fragment_triggers, corridors, mission_summaries, planned_summaries, transfer_bands, adaptive_profile, crossings_merged, mission_orders, undo_states, affected_ids, profile_requests)}
 
 _STEPS = "s AS (SELECT user_id, event_id, (event_id * 31 % 257)::DOUBLE AS metres, event_id % 4 = 3 AS gap FROM events)"
 ORACLE = {
@@ -140,5 +147,7 @@ ORACLE = {
         s(user_id, i, u, r) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM e UNION ALL
           SELECT s.user_id, e.i, CASE e.act WHEN 'push' THEN list_concat(s.u, [e.event_id])[greatest(len(s.u) - 3, 1):] WHEN 'undo' THEN s.u[:greatest(len(s.u) - 1, 0)] ELSE list_concat(s.u, s.r[greatest(len(s.r), 1):]) END, CASE e.act WHEN 'push' THEN [] WHEN 'undo' THEN list_concat(s.r, s.u[greatest(len(s.u), 1):]) ELSE s.r[:greatest(len(s.r) - 1, 0)] END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
         SELECT s.user_id, coalesce(array_to_string(u, ' '), '') AS undo, coalesce(array_to_string(r, ' '), '') AS redo FROM s JOIN (SELECT user_id, max(n) AS n FROM e GROUP BY user_id) t ON t.user_id = s.user_id AND t.n = s.i""",
+    "profile_requests": """WITH k AS (SELECT user_id, event_id, CASE WHEN event_id % 10 = 0 THEN 'snapshot' WHEN event_id % 3 = 0 THEN 'detail' ELSE 'overview' END AS kind FROM events), s AS (SELECT user_id, max(event_id) AS snapshot FROM k WHERE kind = 'snapshot' GROUP BY user_id)
+        SELECT s.user_id, snapshot, max(event_id) FILTER (kind = 'overview' AND event_id > snapshot) AS overview, max(event_id) FILTER (kind = 'detail' AND event_id > snapshot) AS detail FROM s JOIN k USING (user_id) GROUP BY ALL""",
     "affected_ids": "SELECT DISTINCT event_id AS \"transaction\", unnest([event_id % 7, event_id % 5, event_id % 3, event_id % 11]) AS id FROM events",
 }

@@ -67,3 +67,14 @@ def undo_state(log: DataFrame, keys: list[str], order: list[str], most: int = 50
 def affected(transactions: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id): every polygon that a transaction had before or has after (arrays of ids), once."""
     return transactions.select(*keys, F.explode(F.array_union("before", "after")).alias("id"))
+
+
+def profile_requests(log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, snapshot, overview, detail): of every client the last snapshot, and the last request of either kind after it.
+
+    log: keys, kind (snapshot, overview, detail), order. Requests before the last snapshot are about what is no longer there, and of
+    several of a kind only the last is answered; as a stream this is one call a micro-batch over the log so far.
+    """
+    last = log.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "snapshot", F.col(order))).alias("snapshot")).filter("snapshot IS NOT NULL")
+    of = lambda kind: F.max(F.when((F.col("kind") == kind) & (F.col(order) > F.col("snapshot")), F.col(order))).alias(kind)
+    return log.join(last, keys).groupBy(*keys, "snapshot").agg(of("overview"), of("detail"))

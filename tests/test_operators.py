@@ -54,23 +54,41 @@ def test_grid_area_is_the_ring_s(spark):
 
 
 def test_flat_ground_under_nadir_poses(spark):
-    c, h = (0.035, 4.88e-6, 4.88e-6, 7952, 5304), 100.0
+    h = 100.0
     pixels = spark.createDataFrame([(i, float(x), 0.0, 0.0, 0.0, 0.0, 1.0) for i, x in enumerate((0, 20, 54, 56, 200))], "pixel long, x double, y double, z double, nx double, ny double, nz double")
-    pose = spark.createDataFrame([(1, 0.0, 0.0, h, 0.0)], "pose long, x double, y double, z double, ground double").withColumns(sensors.rotation(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    got = {r.pixel: r for r in spatial.visible(pixels, pose, 30.0, c).collect()}
+    pose = spark.createDataFrame([(1, 0, 0.0, 0.0, h, 0.0)], "pose long, camera int, x double, y double, z double, ground double").withColumns(sensors.rotation(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    got = {r.pixel: r for r in spatial.visible(pixels, pose, sensors.cameras(spark), 30.0).collect()}
     assert set(got) == {0, 1, 2}  # half a footprint is 55.4 m
     assert got[0].gsd == pytest.approx(h * 4.88e-6 / 0.035) and got[2].gsd == pytest.approx(got[0].gsd)
 
 
 def test_order_of_areas_against_brute_force():
-    rng = random.Random(3)
-    for n in (1, 2, 4):
-        table = {(p, q): rng.random() for p in itertools.product(range(n), (0, 1)) for q in itertools.product(range(n), (0, 1))}
-        cost = lambda p, q: table[p, q]  # noqa: B023, E731
-        paths = [list(zip(o, f, strict=True)) for o in itertools.permutations(range(n)) for f in itertools.product((0, 1), repeat=n)]
-        best = min(sum(cost(a, b) for a, b in itertools.pairwise(p)) for p in paths)
-        assert search.best_order(n, cost)[0] == pytest.approx(best)
-        assert search.best_order(n, cost, exact=0)[0] >= best - 1e-9
+    import numpy as np
+
+    from swathline.operators import sequences
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 5):
+        cost, start, end = rng.random((2 * n, 2 * n)), rng.random(2 * n), rng.random(2 * n)
+        paths = [[2 * a + f for a, f in zip(o, fs, strict=True)] for o in itertools.permutations(range(n)) for fs in itertools.product((0, 1), repeat=n)]
+        total = lambda p: start[p[0]] + sum(cost[a, b] for a, b in itertools.pairwise(p)) + end[p[-1]]  # noqa: B023, E731
+        found, path = sequences.cheapest_path(cost, start, end)
+        assert found == pytest.approx(min(map(total, paths))) == pytest.approx(total(path))
+        good, path = sequences.good_path(cost, start, end)
+        assert good == pytest.approx(total(path)) and good >= found - 1e-9 and sorted(s // 2 for s in path) == list(range(n))
+
+
+def test_orders_are_exact_up_to_seventeen_areas(spark):
+    """Areas on a line: the way from one end to the other, whichever way round, though they come in no order."""
+    from swathline.operators import sequences
+
+    rows = [(1, i, 0.0, (i * 7 % 17) * 1000.0, 0.0) for i in range(17)]
+    areas = spark.createDataFrame(rows, "mission long, area long, half double, x double, z double")
+    links = sequences.connections(areas, ["mission"], "area", 10.0, 4.0, 3.0)
+    ends = areas.select("mission", "area", F.explode(F.array(F.lit(0), F.lit(1))).alias("flip"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
+    got = sequences.sequence(links, ends, ["mission"], "area").orderBy("place").collect()
+    places = [r.area * 7 % 17 for r in got]
+    assert got[0].cost == pytest.approx(1600.0) and places in (list(range(17)), list(range(16, -1, -1)))
 
 
 def test_bearing_search_and_picks():
