@@ -124,7 +124,14 @@ def face_partition(spark: SparkSession, sf: str) -> DataFrame:
     return merged.join(sums.select("block", "leaf", "n"), ["block", "leaf"]).groupBy("block").agg(F.count(F.lit(1)).alias("leaves"), F.countDistinct("merged").alias("faces"), F.sum("n").alias("cells"))
 
 
-QUERIES = {f.__name__: f for f in (area_sweeps, sweep_heights, traversals, turn_points, turn_previews, area_ways, bearing_search, seeded_search, surrogate_basins, hotspots, face_splits, face_partition)}
+def sampled_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The older way of lines over every box: samples on lines across its circle, the first and last inside."""
+    from ..operators.generators import clipped_lines
+
+    return clipped_lines(_boxes(spark, sf), ["area"], 0.0, 41.0).select("area", "line", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+
+
+QUERIES = {f.__name__: f for f in (area_sweeps, sweep_heights, traversals, turn_points, turn_previews, area_ways, bearing_search, seeded_search, surrogate_basins, hotspots, face_splits, face_partition, sampled_lines)}
 
 _BOX = "b AS (SELECT s_suppkey AS area, s_suppkey * 1000::DOUBLE AS x, s_suppkey % 17 * 300::DOUBLE AS y, 200::DOUBLE + s_suppkey % 9 * 37 AS w, 150::DOUBLE + s_suppkey % 7 * 51 AS h FROM supplier)"
 _SWEEPS = f"""{_BOX}, l AS (SELECT *, unnest(range(ceil(-w / 80)::BIGINT, ceil(w / 80)::BIGINT)) AS line FROM b), k AS (SELECT *, (row_number() OVER (PARTITION BY area ORDER BY line) - 1)::INTEGER AS seq FROM l),
@@ -175,4 +182,6 @@ ORACLE = {
     ),
     "hotspots": with_tables(f"WITH {_COST}, c AS (SELECT region, bearing, cost FROM cost WHERE bearing % 10 = 0 AND length(region) * 100 - 600 > 100) SELECT c.region, c.bearing, round(c.cost, 6) AS cost FROM c JOIN c b ON b.region = c.region AND b.bearing = (c.bearing + 170) % 180 JOIN c a ON a.region = c.region AND a.bearing = (c.bearing + 10) % 180 WHERE c.cost <= b.cost AND c.cost < a.cost", "cells"),
     "face_splits": with_tables(_split_cte(), "cells"),
+    "sampled_lines": f"""WITH {_BOX}, r AS (SELECT *, sqrt(w * w + h * h) / 2 AS r FROM b), l AS (SELECT *, unnest(range(-ceil(r / 41)::BIGINT, ceil(r / 41)::BIGINT + 1))::INTEGER AS line FROM r), k AS (SELECT area, line, w, h, r * (2 * unnest(range(65)) / 64::DOUBLE - 1) AS a FROM l)
+        SELECT area, line, round(min(a), 4) AS lo, round(max(a), 4) AS hi FROM k WHERE abs(line * 41) < w / 2 AND abs(a) < h / 2 GROUP BY area, line""",
 }

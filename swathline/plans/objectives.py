@@ -146,7 +146,24 @@ def coverage_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return choices.coverage(parents, claims, ["area"], "cell").select("area", F.round("covered", 6).alias("covered"), F.round("overlap", 6).alias("overlap"), "viable")
 
 
-QUERIES = {f.__name__: f for f in (orientation_costs, partition_costs, fit_grades, face_scores, fallback_plans, score_breakdowns, exact_rerank, guidance_quality, region_node_cost, ring_figures, ray_entries, run_plans, cut_bonus, coverage_ratios)}
+def request_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with requests, and the defaults of the others."""
+    from ..functions.requests import validated
+
+    n = F.col("p_partkey")
+    pick = lambda k, *names: F.get(F.array(*[F.lit(x) for x in names]), (n % k).cast("int"))
+    corner = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    r = table(spark, sf, "part").select(n.alias("request"), F.array_repeat(corner, (n % 5).cast("int")).alias("ring"), pick(4, "camera", "lidar", "radar", None).alias("payload"), (n % 9 - 1).cast("double").alias("altitude"), pick(6, 70.0, None, 96.0, 0.0, -1.0, 95.0).alias("front"), pick(2, None, 30.0).alias("side"), (n % 7 - 1).cast("double").alias("clearance"), pick(3, 0.5, None, 1.5).alias("tradeoff"), pick(5, "legacy", "min-clearance", None, "terrain", "legacy").alias("mode"), pick(7, "blended", None, "mapbox", "blended", "lidar", None, "blended").alias("source"), pick(8, "d1", " ", None, "d2", "", "d3", "d4", None).alias("dataset"))
+    return validated(r).select("request", F.array_join("problems", " ").alias("problems"), "front", "mode", "source")
+
+
+def plan_names(spark: SparkSession, sf: str) -> DataFrame:
+    """How many different names the plans' figures have: as many as there are different figures."""
+    f = _figures(spark, sf).select((F.col("region") % 7).alias("a"), (F.col("region") % 3).alias("b"))
+    return f.withColumn("name", scores.signature("a", "b")).groupBy("a", "b").agg(F.countDistinct("name").alias("names"), F.min(F.length("name")).alias("digits"))
+
+
+QUERIES = {f.__name__: f for f in (orientation_costs, partition_costs, fit_grades, face_scores, fallback_plans, score_breakdowns, exact_rerank, guidance_quality, region_node_cost, ring_figures, ray_entries, run_plans, cut_bonus, coverage_ratios, request_problems, plan_names)}
 
 _TERRAIN = "CASE grade WHEN 'excellent' THEN 0.05 WHEN 'good' THEN 0.35 WHEN 'fair' THEN 1.1 ELSE 2.4 END + least(4, rmse / 6) + least(4, 3.5 * (1 - r2))"
 
@@ -226,6 +243,11 @@ ORACLE = {
         SELECT m.region, round(CASE WHEN nl >= 3 AND nr >= 3 THEN least(1, least(nl, nr) / 8::DOUBLE) * least(4, least(abs(l - r), 180 - abs(l - r)) / 18) * least(2.5, br / 10) ELSE 0 END, 6) AS bonus FROM m LEFT JOIN g USING (region)""",
         "cells",
     ),
+    "plan_names": "SELECT p_partkey % 7 AS a, p_partkey % 3 AS b, 1::BIGINT AS names, 16::INTEGER AS digits FROM part GROUP BY ALL",
+    "request_problems": """WITH r AS (SELECT p_partkey AS request, p_partkey % 5 AS corners, ['camera', 'lidar', 'radar', NULL][p_partkey % 4 + 1] AS payload, p_partkey % 9 - 1 AS altitude, [70::DOUBLE, NULL, 96, 0, -1, 95][p_partkey % 6 + 1] AS front, p_partkey % 7 - 1 AS clearance, [0.5::DOUBLE, NULL, 1.5][p_partkey % 3 + 1] AS tradeoff,
+        ['legacy', 'min-clearance', NULL, 'terrain', 'legacy'][p_partkey % 5 + 1] AS mode, ['blended', NULL, 'mapbox', 'blended', 'lidar', NULL, 'blended'][p_partkey % 7 + 1] AS source, ['d1', ' ', NULL, 'd2', '', 'd3', 'd4', NULL][p_partkey % 8 + 1] AS dataset FROM part)
+        SELECT request, concat_ws(' ', CASE WHEN corners < 3 THEN 'ring' END, CASE WHEN payload IS NULL OR payload = 'radar' THEN 'payload' END, CASE WHEN altitude <= 0 THEN 'altitude' END, CASE WHEN front > 95 OR front < 0 THEN 'front' END, CASE WHEN clearance < 0 THEN 'clearance' END, CASE WHEN tradeoff > 1 THEN 'tradeoff' END,
+        CASE WHEN mode = 'terrain' THEN 'mode' END, CASE WHEN source = 'lidar' THEN 'source' END, CASE WHEN source = 'blended' AND coalesce(trim(dataset), '') = '' THEN 'dataset' END) AS problems, coalesce(front, 70) AS front, coalesce(mode, 'legacy') AS mode, coalesce(source, 'mapbox') AS source FROM r""",
     "coverage_ratios": with_tables(
         """WITH k AS (SELECT DISTINCT region, unnest([cell, cell + 3, cell + row % 4]) AS cell FROM cells), k2 AS (SELECT cell % 7 AS area, region, cell FROM k WHERE cell % 5 <> 0), p AS (SELECT cell % 7 AS area, cell FROM cells),
         n AS (SELECT area, cell, count(*) AS n FROM k2 GROUP BY ALL), s AS (SELECT area, sum(n - 1) AS over FROM n GROUP BY area), c AS (SELECT p.area, count(*) AS whole, count(n.cell) AS covered FROM p LEFT JOIN n ON n.cell = p.cell AND n.area = p.area GROUP BY p.area)
