@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.angles import axial_delta
 
 
-def skyline(plans: DataFrame, keys: list[str], time: str, quality: str) -> DataFrame:
+def skyline(plans: DataFrame, keys: list[str], time: str, quality: str, parts: int = 32) -> DataFrame:
     """Plans that no other of their group equals or beats in both and beats in one.
 
     In order of time, then quality, a plan stays if its quality is below the best of all earlier ones; equal plans stay
-    together. Two window passes over one shuffle by keys, in place of comparing pairs.
+    together. Window passes in place of comparing pairs: first over each of `parts` parts of a group, dealt by a hash of both
+    figures, then over what is left of it, so that no task sorts a large group.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
-    earlier = w.rangeBetween(Window.unboundedPreceding, -1)
-    p = plans.withColumns({"__before": F.min(quality).over(earlier), "__now": F.min(quality).over(Window.partitionBy(*keys, time))})
-    stays = (F.col(quality) == F.col("__now")) & (F.col("__before").isNull() | (F.col(quality) < F.col("__before")))
-    return p.filter(stays).drop("__before", "__now")
+
+    def pass_over(p: DataFrame, by: list) -> DataFrame:
+        earlier = Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+        p = p.withColumns({"__before": F.min(quality).over(earlier), "__now": F.min(quality).over(Window.partitionBy(*by, time))})
+        stays = (F.col(quality) == F.col("__now")) & (F.col("__before").isNull() | (F.col(quality) < F.col("__before")))
+        return p.filter(stays).drop("__before", "__now")
+
+    dealt = plans.withColumn("__part", F.pmod(F.xxhash64(time, quality), F.lit(parts)))
+    return pass_over(pass_over(dealt, [*keys, "__part"]).drop("__part"), keys)
 
 
 def thin(plans: DataFrame, keys: list[str], count: str, time: str, quality: str, each: int = 5, most: int = 20) -> DataFrame:

@@ -27,15 +27,16 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
     """One row a group: the first value at which the running weight reaches q of the whole; no interpolation.
 
     Equal values are summed before the window, so its rows are a group's distinct values and the shuffle is one
-    by keys. A group without any usable row has no row.
+    by keys. A group without any usable row has 0.
     """
-    usable = df.filter(counts_in(F.col(value), F.col(weight)))
-    each = usable.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    good = counts_in(F.col(value), F.col(weight))
+    usable = df.select(*keys, F.when(good, F.col(value)).alias("__v"), F.when(good, F.col(weight)).otherwise(0.0).alias("__w"))
+    each = usable.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w"))
+    run = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumns({"__run": F.sum("__w").over(run), "__all": F.sum("__w").over(Window.partitionBy(*keys))})
     # The last value in case rounding keeps the running sum below the whole.
-    picks = [F.coalesce(F.min(F.when(F.col("__run") >= F.lit(min(1.0, max(0.0, q))) * F.col("__all"), F.col(value))), F.max(value)).alias(name) for name, q in qs.items()]
-    return each.groupBy(*keys).agg(*picks)
+    reached = lambda q: F.col("__v").isNotNull() & (F.col("__run") >= F.lit(min(1.0, max(0.0, q))) * F.col("__all"))
+    return each.groupBy(*keys).agg(*[F.coalesce(F.min(F.when(reached(q), F.col("__v"))), F.max("__v"), F.lit(0.0)).alias(name) for name, q in qs.items()])
 
 
 def principal_axis(x: Column, y: Column, weight: Column) -> Column:

@@ -156,3 +156,13 @@ def test_lidar_over_flat_ground(spark):
     assert line.mean() == pytest.approx(160000 / 16, rel=0.03)
     assert got.col.min() >= (200 - 56) // 8 and got.col.max() <= (200 + 56) // 8
     assert set(got.passes) == {1}
+
+
+def test_quantile_of_nothing_is_zero(spark):
+    df = spark.createDataFrame([("a", 2.0, 1.0), ("b", 5.0, 0.0), ("c", float("nan"), 1.0), ("c", None, 1.0)], "k string, v double, w double")
+    assert {r.k: r.q for r in weighted.weighted_quantiles(df, ["k"], "v", "w", {"q": 0.5}).collect()} == {"a": 2.0, "b": 0.0, "c": 0.0}
+
+
+def test_updates_count_once(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x")], "id long, what string")
+    assert streams.once(df, ["id"]).count() == 2
