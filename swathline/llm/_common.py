@@ -14,6 +14,8 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 #: Rows of some tens of bytes that may be broadcast, once they are counted; more are joined by shuffle.
 BROADCAST_ROWS = 400_000
+#: Rows up to which one task can hold all that share a key, and a side of as many rows at most is broadcast.
+FEW_ROWS = 100_000
 #: A key with more than this share of the rows is hot; there are at most as many of them as its inverse.
 HOT_SHARE = 1000
 
@@ -76,7 +78,10 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, row
 
     A key with over a HOT_SHARE-th of all `rows` would land in one task: there are at most HOT_SHARE such keys, which are
     broadcast, and only the others are shuffled. left is read twice, so it should be a table or cheap. Null keys meet nothing.
+    Of FEW_ROWS or fewer rows right has no more rows, and is broadcast as it is.
     """
+    if rows <= FEW_ROWS:
+        return left.join(F.broadcast(right.select(*keys) if how == "left_anti" else right), keys, how)
     hot = right.filter(F.col(n) * HOT_SHARE > rows)
     rest = right.filter(F.col(n) * HOT_SHARE <= rows)
     cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")

@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._segments import slices
+from ._segments import release, slices
 
 #: Symbols before the letters. A separator stands between training texts and is in no parsed text.
 SPACE, OTHER, SEPARATOR = 0, 1, 2
 #: Symbols that are parsed as one run: lanes of this length advance together, and are mended where a phrase goes on.
 LANE = 256
+#: UTF-8 bytes of text that are parsed at once; what a parse holds is some thirty times as much.
+SLICE = 1 << 20
 #: Languages that a worker can hold, at 3 MB each at most; more labels are refused, never dropped.
 MAX_LANGUAGES = 400
 
@@ -179,21 +181,21 @@ class Languages:
         for k, edges in enumerate(self.edges):
             state = np.zeros(len(order), np.int32)
             count = np.zeros(len(order), np.int64)
-            states = np.zeros((LANE, len(order)), np.int32)
+            states, begins = np.zeros((LANE, len(order)), np.int32), np.zeros((LANE, len(order)), bool)
             for i in range(LANE):
                 n = int(going[i])
                 if not n:
                     break
                 state[:n], began = _advance(edges, state[:n], steps[i, :n])
                 count[:n] += began
-                states[i, :n] = state[:n]
+                states[i, :n], begins[i, :n] = state[:n], began
             count, state = count[place], state[place]
-            self._mend(edges, coded, first, head[:-1], sizes, place, states, state, count)
+            self._mend(edges, coded, first, head[:-1], sizes, place, states, begins, state, count)
             sums = np.concatenate([[0], np.cumsum(count)])
             out[:, k] = sums[first[1:]] - sums[first[:-1]]
         return out
 
-    def _mend(self, edges: Edges, coded: list, first: np.ndarray, head: np.ndarray, sizes: np.ndarray, place: np.ndarray, states: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+    def _mend(self, edges: Edges, coded: list, first: np.ndarray, head: np.ndarray, sizes: np.ndarray, place: np.ndarray, states: np.ndarray, begins: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
         """Parses each lane anew from the state in which the lane before it ended, until it meets its first parse.
 
         All lanes at once from their neighbours' first parses, which nearly always were met; what follows a lane that
@@ -216,13 +218,9 @@ class Languages:
                 lost[todo[past]] = True
                 ended[todo[past]] = now[past]
                 todo, now = todo[~past], now[~past]
-            prior = states[i - 1, place[todo]] if i else np.zeros(len(todo), np.int32)
-            c = flat[starts[todo] + i]
-            after, began = _advance(edges, now, c)
-            own, own_began = states[i, place[todo]], None
-            own_began = _began(edges, prior, c)
-            count[todo] += began.astype(np.int64) - own_began
-            met = after == own
+            after, began = _advance(edges, now, flat[starts[todo] + i])
+            count[todo] += began.astype(np.int64) - begins[i, place[todo]]
+            met = after == states[i, place[todo]]
             todo, now = todo[~met], after[~met]
         lost[todo] = True
         ended[todo] = now
@@ -230,9 +228,9 @@ class Languages:
         for k in np.flatnonzero(lost).tolist():
             if k + 1 >= len(state) or head[k + 1]:
                 continue
-            self._redo(edges, flat, starts, head, sizes, place, states, ended, came, count, k + 1)
+            self._redo(edges, flat, starts, head, sizes, ended, came, count, k + 1)
 
-    def _redo(self, edges, flat, starts, head, sizes, place, states, ended, came, count, k) -> None:
+    def _redo(self, edges: Edges, flat: np.ndarray, starts: np.ndarray, head: np.ndarray, sizes: np.ndarray, ended: np.ndarray, came: np.ndarray, count: np.ndarray, k: int) -> None:
         """From lane k on, as long as the state before it is another than the one it was parsed from."""
         while k < len(head) and not head[k] and came[k] != ended[k - 1]:
             now, was, met = int(ended[k - 1]), int(came[k]), False
@@ -287,10 +285,6 @@ def _advance(edges: Edges, state: np.ndarray, symbol: np.ndarray) -> tuple[np.nd
     return to, began
 
 
-def _began(edges: Edges, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (state == 0) | (edges.follow(state, symbol) < 0)
-
-
 _judges: dict[tuple, Languages] = {}
 
 
@@ -317,10 +311,11 @@ def identify(docs: DataFrame, training: dict[str, list[str]], id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in slices(batch.column("__text")):
+            for first, part in slices(batch.column("__text"), SLICE):
                 names, scores = _judge(parts).judge(part.to_pylist())
                 rest = [batch.column(c).slice(first, len(part)) for c in schema_in]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*schema_in, "lang_pred", "score"])
+        release()
 
     flat = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema_in = [c for c in flat.columns if c != "__text"]
@@ -334,12 +329,16 @@ def keep_known(docs: DataFrame, training: dict[str, list[str]], text_col: str =
     Each row is judged by itself where it is read: nothing is shuffled, and null or repeated ids don't matter. A training
     without languages takes no text with a letter away. An empty table stays empty.
     """
-    parts, at = _parts(training), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, part in slices(pc.fill_null(batch.column(at), "")):
-                names, _ = _judge(parts).judge(part.to_pylist())
-                yield batch.slice(first, len(part)).filter(pa.array([n != "und" for n in names], pa.bool_()))
+    parts = _parts(training)
 
-    return docs.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            names: list[str | None] = []
+            for _, part in slices(pc.fill_null(texts, ""), SLICE):
+                names += _judge(parts).judge(part.to_pylist())[0]
+            yield pa.array(names, pa.string())
+        release()
+
+    # Only the text goes to the kernel and only the language comes back; the rows wait where they are.
+    language = F.arrow_udf(run, "string")
+    return docs.filter(F.coalesce(language(F.col(text_col)), F.lit("")) != "und")

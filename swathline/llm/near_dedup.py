@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import BROADCAST_ROWS, join_counted, without, written
 from ._hashing import Words, mix
-from ._segments import slices
+from ._segments import release, slices
 from .components import components
 
 BANDS, ROWS_A_BAND = 32, 4
@@ -90,6 +90,7 @@ def _sign(shingle: int):
                     [batch.column("doc_id").slice(first, len(part)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
                     names=["doc_id", "n_shingles", "digest", "signature"],
                 )
+        release()
 
     return sign
 
@@ -116,6 +117,7 @@ def _with_sets(docs: DataFrame, needs: DataFrame, shingle: int) -> DataFrame:
                 packed = [s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in shingle_sets(part, shingle)]
                 kept = [batch.column(c).slice(first, len(part)) for c in ("doc_id", *rest)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names=["doc_id", *rest, "shingles"])
+        release()
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in needs.schema if f.name != "need")
     return found.mapInArrow(sets, f"doc_id long, {fields}, shingles binary")
@@ -222,6 +224,7 @@ def _bucket_links(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle:
                 close = _close(signature[a], signature[b], int(band[a[0]]), component[a][:, None] != component[b][None, :])
                 wanted[a] |= close.any(axis=1)
                 wanted[b] |= close.any(axis=0)
+        release()
         return table.filter(pa.array(wanted)).select(["need", "key", "i", "j", "component", "n_shingles", "asks"])
 
     wanted = signed.withColumn("need", F.col("rep")).groupBy(dealt(-(-count // TASK_ROWS))).applyInArrow(look, "need long, key long, i int, j int, component long, n_shingles long, asks boolean")
@@ -242,6 +245,7 @@ def _bucket_links(docs: DataFrame, met: DataFrame, classes: DataFrame, shingle:
                 good = good[np.unique(component[good], return_index=True)[1]]
                 us += [ids[k]] * len(good)
                 vs += ids[good].tolist()
+        release()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     found = _with_sets(docs, wanted, shingle)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import with_rank, written
-from ._segments import Memory, Segmented, slices
+from ._segments import Memory, Segmented, release, slices
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: White space before white space or the end, by which a space need not start a pre-token.
@@ -112,6 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                     [batch.column("doc_id").take(pa.array(at)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc), pa.array(tokens)],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        release()
 
     flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return flat.mapInArrow(cut, PIECES)
