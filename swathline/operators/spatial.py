@@ -31,7 +31,8 @@ def contains(shapes: DataFrame, points: DataFrame, keys: list[str], size: float)
 def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str] | None = None) -> DataFrame:
     """Pairs of rows with x, y at most `radius` apart (of equal keys), the right ones' columns as r_..., and the distance.
 
-    Cells are as wide as the radius; the left side is copied to the nine around it, so each pair meets once.
+    Cells are as wide as the radius; the left side is copied to the nine around it, so each pair meets once. Both sides grow with
+    their tables, so they are shuffled and merged by cell; neither is broadcast.
     """
     keys = keys or []
     cell = lambda c: F.floor(F.col(c) / radius)
@@ -40,7 +41,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str] | N
     b = right.withColumns({"__cx": cell("x"), "__cy": cell("y")})
     b = b.select("__cx", "__cy", *keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
     d = F.hypot(F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y"))
-    return a.join(b, ["__cx", "__cy", *keys]).withColumn("distance", d).filter(F.col("distance") <= radius).drop("__cx", "__cy")
+    return a.join(b.hint("merge"), ["__cx", "__cy", *keys]).withColumn("distance", d).filter(F.col("distance") <= radius).drop("__cx", "__cy")
 
 
 def strips_to_tiles(strips: DataFrame, keys: list[str], reach: Column | float, side: float) -> DataFrame:
