@@ -78,7 +78,8 @@ def decimate(samples: DataFrame, keys: list[str], order: str, most: int) -> Data
     w = Window.partitionBy(*keys)
     s = samples.withColumns({"__n": F.count(F.lit(1)).over(w), "__total": F.max("distance").over(w), "__first": F.min(order).over(w), "__end": F.max(order).over(w)})
     width = F.col("__total") / buckets
-    at = F.least(F.floor(F.col("distance") / width), F.lit(buckets - 1)).cast("int")
+    at = F.floor(F.col("distance") / width)
+    at = F.least(F.when(at * width > F.col("distance"), at - 1).otherwise(at), F.lit(buckets - 1)).cast("int")  # a quotient may be rounded up to the border
     on_border = (at > 0) & (F.col("distance") <= at * width)
     s = s.withColumn("__b", F.explode(F.when(F.col("__total") > 0, F.when(on_border, F.array(at - 1, at)).otherwise(F.array(at))).otherwise(F.array(F.lit(0)))))
     b = Window.partitionBy(*keys, "__b")

@@ -52,7 +52,8 @@ def profile_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def decimate_extrema(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.decimate(_profile(spark, sf), ["user_id"], "i", 32).select("user_id", "i", F.round("distance", 3).alias("distance"))
+    p = _profile(spark, sf).withColumn("clearance", F.round("clearance", 6))  # heights have two places: equal clearances differ in their last bits
+    return paths.decimate(p, ["user_id"], "i", 32).select("user_id", "i", F.round("distance", 3).alias("distance"))
 
 
 def profile_clip(spark: SparkSession, sf: str) -> DataFrame:
