@@ -140,15 +140,17 @@ def sample_tiles(points: DataFrame, tiles: DataFrame, zoom: int, size: int, near
     """points (x, y in metres) with the height of the map tile that holds them: bilinear between samples, or that of the pixel.
 
     tiles: tx, ty, row, col, z. Bilinear places run from the first sample to the last over the whole tile. A point
-    without a tile has none.
+    without a tile has none. Metres are too coarse to place a point on an edge: within a billionth of the next tile, or of
+    the next pixel, it is in that one.
     """
     from ..functions.geo import WORLD
 
-    side = WORLD / (1 << zoom)
+    side, near = WORLD / (1 << zoom), 1e-9
     fx, fy = (F.col("x") + WORLD / 2) / side, (WORLD / 2 - F.col("y")) / side
-    placed = points.withColumns({"tx": F.floor(fx), "ty": F.floor(fy), "__px": (fx - F.floor(fx)) * (size - (0 if nearest else 1)), "__py": (fy - F.floor(fy)) * (size - (0 if nearest else 1))})
+    within = lambda f: F.greatest(f - F.floor(f + near), F.lit(0.0)) * (size - (0 if nearest else 1))
+    placed = points.withColumns({"tx": F.floor(fx + near), "ty": F.floor(fy + near), "__px": within(fx), "__py": within(fy)})
     if nearest:
-        at = placed.withColumns({"row": F.floor("__py"), "col": F.floor("__px")})
+        at = placed.withColumns({"row": F.floor(F.col("__py") + near), "col": F.floor(F.col("__px") + near)})
         return at.join(tiles.select("tx", "ty", "row", "col", "z"), ["tx", "ty", "row", "col"], "left").select(*points.columns, "z")
     return sample_bilinear(placed, tiles, ["tx", "ty"], F.col("__px"), F.col("__py"), size).select(*points.columns, "z")
 
