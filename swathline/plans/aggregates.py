@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import angles, sensors
 from ..operators import histograms as hist
 from ..operators import weighted
-from ..sources.bindings import cells, points, poses, table, with_tables
+from ..sources.bindings import cells, points, poses, rounded, table, with_tables
 
 CELL = 25.0
 
@@ -62,8 +62,8 @@ def _stats(spark: SparkSession, sf: str, density: bool) -> DataFrame:
 
 
 def _flat(stats: DataFrame, *keys: str) -> DataFrame:
-    cells = F.transform("histogram", lambda b: F.concat_ws(":", F.round(b["bin"], 3).cast("decimal(20,3)").cast("string"), b["count"].cast("string"), F.round(b["area"], 2).cast("decimal(20,2)").cast("string")))
-    return stats.select(*keys, *_r("min", "max", "mean", "area", places=3), "count", F.array_join(cells, " ").alias("histogram"))
+    cells = F.transform("histogram", lambda b: F.concat_ws(":", rounded(b["bin"], 3).cast("decimal(20,3)").cast("string"), b["count"].cast("string"), rounded(b["area"], 2).cast("decimal(20,2)").cast("string")))
+    return stats.select(*keys, *[rounded(F.col(n), 3).alias(n) for n in ("min", "max", "mean", "area")], "count", F.array_join(cells, " ").alias("histogram"))
 
 
 def resolution_histogram(spark: SparkSession, sf: str) -> DataFrame:

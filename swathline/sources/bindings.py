@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,17 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double to so many places as SQL engines of doubles have it: scaled, then the nearest whole number, halves away from 0.
+
+    Spark's own goes by the shortest decimal text, which calls some numbers halves that lie beside them.
+    """
+    scaled = F.abs(c) * 10.0**places
+    whole = F.floor(scaled)
+    nearest = whole + F.when(scaled - whole >= 0.5, 1).otherwise(0)
+    return F.when(scaled < float(1 << 52), F.signum(c) * nearest / 10.0**places).otherwise(c)
+
+
 #: The same tables in SQL, for the comparison.
 SQL = {
     "poses": "SELECT event_id, user_id, ts, event_type, 8.5::DOUBLE + (event_id % 997) * 1e-4 AS lng, 47.3::DOUBLE + (user_id % 89) * 1e-4 AS lat, 500 + value AS alt FROM events",
